@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_output
+from strataweave.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -72,13 +80,27 @@ select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_siz
 from base window same as (partition by text_sha256)
 """
 
+OP6_SQL = r"""
+with base as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+bits as (select *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') as b from base),
+named as (
+  select *, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + list_sum(list_transform(range(1, 6), lambda k: cast(substr(b, 5 * j + k, 1) as int) * (1 << (5 - k)))) as bigint), 1)), '') as payload_digest
+  from bits)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, payload_digest,
+       case when page_id = max(page_id) over same then 'response' else 'revisit' end as record_type,
+       case when page_id <> max(page_id) over same then max(page_id) over same end as refers_to
+from named window same as (partition by html)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_ids": op9_token_ids,
     "op10_near_dedup": op10_near_dedup,
 }
-SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL}

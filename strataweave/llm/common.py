@@ -80,6 +80,6 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, to
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     out = out.withColumn("_cold_key", F.when(F.col("_hot_key").isNull(), F.col(key)))
     cold = cold.withColumnRenamed(key, "_cold_fact")
-    out = out.join(cold, F.col("_cold_key") == F.col("_cold_fact"), "left")
+    out = out.join(smaller(cold, 50 + 40 * len(names)), F.col("_cold_key") == F.col("_cold_fact"), "left")
     kept = [c for c in rows.columns]
     return out.select(*kept, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in names))

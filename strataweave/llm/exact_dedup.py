@@ -182,3 +182,19 @@ def exact_dedup(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     out = join_group_facts(rows, many, "sha", "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def drop_copies(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
+    """The rows of ``documents``, all columns, less all but one of each group of equal texts (the smallest doc_id stays).
+
+    Rows equal in doc_id and text are reduced to one, too.
+    """
+    groups = materialize(content_groups(documents, budget), "exact-groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = groups.filter("n > 1").select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep_id"), F.col("n").alias("_n"))
+    rows = join_group_facts(documents.withColumn("_sha", F.unhex(F.sha2(normalised(), 256))), many, "_sha", "_n", total)
+    rows = rows.filter(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep_id")))
+    kept = rows.select("_sha").agg(F.count("*")).first()[0]
+    if kept > groups.count():
+        rows = rows.dropDuplicates(["_sha"])
+    return rows.select(*documents.columns)

@@ -9,7 +9,8 @@ smaller and equal; those not clearly below the threshold are verified on their f
 No bucket is expanded into all its pairs. Documents with equal sets are one class from the start. Then in each round a
 few members of a bucket (its centres) meet the members not yet in their component; links are verified, components
 joined, centres retired, and a bucket whose members are all in one component is done. A pair is left untested only if
-its documents are already connected, so the components are those of all links. The rounds double their centres.
+its documents are already connected, so the components are those of all links. The number of
+centres grows from round to round.
 
 Memory: sketches and shingle sets live one document at a time; what crosses the cluster per document is its registers
 and its band keys, and the text of candidates.
@@ -92,7 +93,7 @@ def joint_estimate(larger: np.ndarray, smaller_: np.ndarray, n_a: np.ndarray, n_
     return (lo + hi) / 2
 
 
-_SKETCHED = "doc_id long, n_shingles long, print binary, registers binary, bands array<long>"
+_SKETCHED = "doc_id long, text_key long, n_shingles long, print binary, registers binary, bands array<long>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = shingle_set(part.of(i), SHINGLE_WORDS)
                 n.append(len(s))
                 if len(s) == 0:
-                    prints.append(None), registers.append(None), bands.append(None)
+                    for column in (prints, registers, bands):
+                        column.append(None)
                     continue
                 k = sketch(s)
                 keys = band_salt.copy()
@@ -114,7 +116,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(np.array([np.add.reduce(mix64(s ^ np.uint64(99))), np.bitwise_xor.reduce(s)]).tobytes())
                 registers.append(k.tobytes())
                 bands.append(keys.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "registers", "bands"])
+        yield pa.RecordBatch.from_arrays([ids, b.column("text_key"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "print", "registers", "bands"])
 
 
 def _estimates(floor: float):
@@ -201,7 +203,7 @@ def near_components(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
     bounded_batches(documents.sparkSession)
     percent = round(threshold * 100)
     texts = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    docs = materialize(texts.mapInArrow(_sketches, _SKETCHED), "near-sketches")
+    docs = materialize(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sketches, _SKETCHED), "near-sketches")
     # A class: all documents of one set. Its registers are those of any of them.
     reps = docs.filter("print is not null and doc_id is not null").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
     reps = materialize(reps, "near-classes")
@@ -257,7 +259,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
 
 
 def near_dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text).
 
     A null, empty or blank text has an empty set and is linked with nothing. Ties: the smallest doc_id names a
     component and is the one kept. Rows with a null doc_id are linked with nothing and kept (component_id null). Each
@@ -270,7 +272,14 @@ def near_dedup(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     facts = reps.select("print", "n_shingles", "rep", "n_docs").join(smaller(own, 32), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     facts = facts.filter((F.col("n_docs") > 1) | (F.col("comp") < F.col("rep")))  # all others are alone
     facts = materialize(facts.select(F.xxhash64("print", "n_shingles").alias("h"), F.col("comp").alias("component"), "n_docs"), "near-facts")
-    rows = docs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & F.col("print").isNotNull(), F.xxhash64("print", "n_shingles")).alias("h"))
+    rows = docs.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull() & F.col("print").isNotNull(), F.xxhash64("print", "n_shingles")).alias("h"))
     out = join_group_facts(rows, facts, "h", "n_docs", total)
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
+
+
+def drop_near_copies(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, all columns, less all but the smallest doc_id of each component."""
+    gone = near_dedup(documents, threshold).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    gone = smaller(materialize(gone, "near-gone"), 32)
+    return documents.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")

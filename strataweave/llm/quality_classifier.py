@@ -137,3 +137,18 @@ def score_quality(documents: DataFrame, labels: DataFrame, model: CompressionMod
     rows = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     out = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def _filter(model: CompressionModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(model.scores(texts) >= 0.5))
+
+    return run
+
+
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, whose text scores 0.5 or more."""
+    bounded_batches(documents.sparkSession)
+    return documents.mapInArrow(_filter(fit(documents, labels)), documents.schema)

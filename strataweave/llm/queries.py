@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_output, warc
+from strataweave.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -94,6 +98,7 @@ from named window same as (partition by html)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,

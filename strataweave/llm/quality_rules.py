@@ -31,7 +31,7 @@ LEAST_GROUP = 100
 #: chi-square(5): consistency factors of the 0.75 and 0.975 shares, and the 0.975 quantile that reweighting uses.
 CONSISTENCY, NEAR, NEAR_FACTOR = 1.3877, 12.8325, 1.0527
 #: Squared distance beyond which a text is rejected. Statistics of prose have heavier tails than a normal law.
-CUTOFF = 30.0
+CUTOFF = 40.0
 #: Variance added to every statistic (0.1 squared): a nearly constant one must not reject all that differ a little.
 FLOOR = 0.01
 BINS_PER_UNIT = 64

@@ -103,7 +103,9 @@ _RUN = re.compile(rf"\b(?:{_name})(?:[\s,.-]+(?:{_name}))+\b", re.I)
 _ODD = re.compile("[" + "".join(ALIKE) + "！-～\U0001d400-\U0001d7ff①-⒛⁰-₉]")
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.I)
-_SPACED = re.compile(r"\b([A-Za-z0-9._%+-]+) +at +([A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)+)\b", re.I)
+# Last labels that make "a at b dot c" without brackets an address and not prose.
+_LAST = "com|org|net|edu|gov|info|io|eu|de|fr|es|uk|ch|at|it|nl"
+_SPACED = re.compile(rf"\b([A-Za-z0-9._%+-]+) +at +([A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)* +dot +(?:{_LAST}))\b", re.I)
 _BARE = re.compile(r" +(at|dot) +", re.I)
 _SPELLED_CHUNKS = frozenset(w + end for w in SPELLED for end in ("", ",", "."))
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strataweave.functions.normalize import normalize_string, tokenize_string
 from strataweave.functions.similarity import HashedTfidf, seq_ratio_udf
@@ -127,6 +128,74 @@ def probes(columns: DataFrame) -> DataFrame:
     return columns.select("column_name", F.posexplode(found).alias("nth", "query"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Rows of column-by-ontology size, held by the driver from here on: later steps plan against a table, not its history."""
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], _nullable(df.schema))
+
+
+def _nullable(kind):
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
+    return kind
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    q = F.trim("query")
+    return queries.select("query").distinct().select("query", F.lower(q).alias("q_low"), normalize_string(q).alias("qn"), F.array_distinct(tokenize_string(q)).alias("qt"))
+
+
+def _scored(pairs: DataFrame, m: Column) -> DataFrame:
+    """(query, uri, rung, score): each pair's first rung with a score, from its best label."""
+    hits = pairs.select("query", "uri", m.alias("m")).filter("m is not null")
+    return hits.groupBy("query", "uri").agg(F.min(F.struct(F.col("m.rung").alias("rung"), (-F.col("m.score")).alias("minus"))).alias("b")).select("query", "uri", "b.rung", (-F.col("b.minus")).alias("score"))
+
+
+def score_pairs(queries: DataFrame, properties: DataFrame) -> DataFrame:
+    """queries(query) x properties -> (query, uri, rung, score), rungs 1 to 5. Text is prepared once per query and label."""
+    pairs = _asked(queries).join(F.broadcast(with_labels(properties))).withColumn("ratio", seq_ratio_udf("qn", "tn"))
+    q, t = F.col("qn"), F.col("tn")
+    fuzzy = F.when(F.col("ratio") >= 0.65, F.col("ratio") * 0.92)
+    return _scored(pairs, _best_rung((1, F.when(F.col("q_low") == F.col("low"), 0.98)), (2, F.when(q == t, 0.95)), (3, subset_score(F.col("qt"), F.col("tt"))), (4, containment_score(q, t)), (5, fuzzy)))
+
+
+def dense_pairs(queries: DataFrame, summaries: list[tuple[str, str]]) -> DataFrame:
+    """(query, uri, dense) for every query and summary (uri, text): cosine of hashed TF-IDF vectors. Both sides are small."""
+    model = HashedTfidf([t for _, t in summaries])
+    uris = [u for u, _ in summaries]
+
+    @F.pandas_udf("array<struct<uri:string,dense:double>>")
+    def run(q: pd.Series) -> pd.Series:
+        return q.map(lambda x: [{"uri": u, "dense": float(s)} for u, s in zip(uris, model.rows @ model.encode(x or ""), strict=True)])
+
+    return queries.select("query").distinct().withColumn("d", F.explode(run("query"))).select("query", "d.uri", "d.dense")
+
+
+def property_summaries(properties: DataFrame) -> list[tuple[str, str]]:
+    text = F.concat_ws(" ", "label", F.array_join("alt_labels", " "), F.coalesce("comment", F.lit("")))
+    return [tuple(r) for r in properties.select("uri", text).orderBy("uri").collect()]
+
+
+def probes(columns: DataFrame) -> DataFrame:
+    """(column_name, nth, query): the spellings a structural suffix suggests."""
+    name, found = F.trim("column_name"), F.array().cast("array<string>")
+    for suffixes, forms in SUFFIX_PROBES:
+        base = F.coalesce(*(F.when(F.upper(name).endswith(s), F.regexp_replace(F.substring(name, F.lit(1), F.length(name) - len(s)), "^[_ ]+|[_ ]+$", "")) for s in suffixes))
+        made = F.array(*(F.concat(F.lit(f.split("{}")[0]), base, F.lit(f.split("{}")[1])) for f in forms))
+        found = F.concat(found, F.when(base.isNotNull(), made).otherwise(F.array().cast("array<string>")))
+    return columns.select("column_name", F.posexplode(found).alias("nth", "query"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Rows of column-by-ontology size, held by the driver from here on: later steps plan against a table, not its history."""
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], _nullable(df.schema))
+
+
+def _nullable(kind):
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def resolve(columns: DataFrame, properties: DataFrame, domain: str | None = None, arbiter: Callable[[dict, list[dict]], tuple[str, str] | None] | None = None) -> DataFrame:
     """columns(column_name, role, min_value, max_value) -> one row each: uri, label, confidence, method, review_flag, domains, ranges.
 
@@ -134,23 +203,23 @@ def resolve(columns: DataFrame, properties: DataFrame, domain: str | None = None
     near ties: it gets the column and the surviving candidates and returns (uri, "HIGH" | "MEDIUM" | "LOW") or None.
     """
     spark = columns.sparkSession
-    columns = columns.select("column_name", "role", F.col("min_value").cast("double"), F.col("max_value").cast("double")).cache()
+    columns = small(columns.select("column_name", "role", F.col("min_value").cast("double"), F.col("max_value").cast("double")))
     allowed = properties
     if domain is not None:
         inside = properties.filter((F.size("domains") == 0) | F.array_contains("domains", domain))
         allowed = inside if inside.limit(1).count() else properties
-    allowed = allowed.cache()
+    allowed = small(allowed)
     summaries = property_summaries(properties)
-    asked = columns.select("column_name", F.lit(-1).alias("nth"), F.col("column_name").alias("query")).unionByName(probes(columns)).cache()
-    scored = score_pairs(asked, allowed).cache()
-    dense = dense_pairs(asked, summaries).cache()
+    asked = small(columns.select("column_name", F.lit(-1).alias("nth"), F.col("column_name").alias("query")).unionByName(probes(columns)))
+    scored = small(score_pairs(asked, allowed))
+    dense = small(dense_pairs(asked, summaries))
 
     # The ladder: per query the lowest rung, its best score, the first IRI; dense similarity is the last rung.
     rows = scored.unionByName(dense.filter("dense >= 0.40").join(F.broadcast(allowed.select("uri")), "uri", "left_semi").select("query", "uri", F.lit(6).alias("rung"), F.round("dense", 4).alias("score")))
     facts = allowed.select("uri", "label", "property_type", "domains", "ranges", "min_inclusive", "max_inclusive", "alt_labels", "comment")
     pairs = asked.join(columns, "column_name").join(rows, "query").join(F.broadcast(facts), "uri")
     pairs = pairs.withColumn("vetoed", violates_axiom(F.col("role"), F.col("property_type"), F.col("ranges")))
-    pairs = pairs.withColumn("out_of_bounds", violates_bounds(F.col("min_value"), F.col("max_value"), F.col("min_inclusive"), F.col("max_inclusive"))).cache()
+    pairs = small(pairs.withColumn("out_of_bounds", violates_bounds(F.col("min_value"), F.col("max_value"), F.col("min_inclusive"), F.col("max_inclusive"))))
     climbed = Window.partitionBy("column_name", "nth").orderBy("rung", F.col("score").desc(), "uri")
     ladder = pairs.filter("not vetoed").withColumn("_r", F.row_number().over(climbed)).filter("_r = 1").drop("_r")
     own = ladder.filter("nth = -1").select("column_name", F.struct("uri", "score", "rung", "out_of_bounds").alias("own"))
@@ -161,7 +230,7 @@ def resolve(columns: DataFrame, properties: DataFrame, domain: str | None = None
     takes = F.col("probe").isNotNull() & (F.col("own").isNull() | ((F.col("probe.score") > F.col("own.score")) & ~F.col("probe.out_of_bounds")))
     chosen = chosen.withColumn("cand", F.when(takes, F.col("probe")).otherwise(F.col("own"))).withColumn("cand", F.when(~F.col("cand.out_of_bounds"), F.col("cand")))
     edge = pairs.filter("nth = -1 and rung = 6 and not vetoed and not out_of_bounds").groupBy("column_name").agg(F.max_by(F.struct("uri", "score", "rung", "out_of_bounds"), F.struct("score", "uri")).alias("edge"))
-    chosen = chosen.join(edge, "column_name", "left").withColumn("cand", F.coalesce("cand", "edge")).select("column_name", "role", "min_value", "max_value", "cand").cache()
+    chosen = small(chosen.join(edge, "column_name", "left").withColumn("cand", F.coalesce("cand", "edge")).select("column_name", "role", "min_value", "max_value", "cand"))
 
     # Competitors of one range within 0.15 of the best, or any while the best is under 0.90, call the arbiter.
     base = pairs.filter("nth = -1 and not vetoed").groupBy("column_name", "uri").agg(F.min_by("score", "rung").alias("score"))
@@ -169,11 +238,11 @@ def resolve(columns: DataFrame, properties: DataFrame, domain: str | None = None
     viable = base.join(held, ["column_name", "uri"], "full").select("column_name", "uri", F.coalesce("held", "score").alias("score")).filter("score >= 0.40").join(F.broadcast(facts), "uri")
     rank = Window.partitionBy("column_name").orderBy(F.col("score").desc(), "uri")
     viable = viable.withColumn("top_ranges", F.first("ranges").over(rank)).withColumn("top", F.max("score").over(Window.partitionBy("column_name")))
-    rivals = viable.filter(ranges_compatible(F.col("ranges"), F.col("top_ranges"))).withColumn("_r", F.row_number().over(rank)).cache()
+    rivals = small(viable.filter(ranges_compatible(F.col("ranges"), F.col("top_ranges"))).withColumn("_r", F.row_number().over(rank)))
     called = rivals.filter("_r = 2 and (score >= top - 0.15 or top < 0.90)").select("column_name", F.lit(True).alias("called"))
     chosen = chosen.join(called, "column_name", "left").withColumn("called", F.coalesce("called", F.lit(False)))
     weak = F.col("cand").isNull() | (F.col("cand.rung") == 6) | F.col("cand.score").between(0.40, 0.65)
-    chosen = chosen.withColumn("arbitrated", weak | F.col("called")).cache()
+    chosen = small(chosen.withColumn("arbitrated", weak | F.col("called")))
 
     # Pool: the competitors, then the nearest of 16 by dense similarity, eight in all.
     open_ = chosen.filter("arbitrated").select("column_name", "role", "min_value", "max_value", "called")
@@ -195,7 +264,7 @@ def resolve(columns: DataFrame, properties: DataFrame, domain: str | None = None
     span, data = F.col("max_inclusive") - F.col("min_inclusive"), F.col("max_value") - F.col("min_value")
     tight = F.when((span > 0) & (data >= 0) & (data <= span), F.least(F.lit(0.10), 0.10 * data / span)).otherwise(0.0)
     has_bounds = (F.col("min_value").isNotNull() | F.col("max_value").isNotNull()) & (F.col("min_inclusive").isNotNull() | F.col("max_inclusive").isNotNull())
-    left = left.withColumn("arb", F.col("score") + fits_domain + F.when(has_bounds, 0.20 + F.coalesce(tight, F.lit(0.0))).otherwise(0.0) + 0.20 * share(alts) + 0.15 * share(said)).cache()
+    left = small(left.withColumn("arb", F.col("score") + fits_domain + F.when(has_bounds, 0.20 + F.coalesce(tight, F.lit(0.0))).otherwise(0.0) + 0.20 * share(alts) + 0.15 * share(said)))
     best = Window.partitionBy("column_name").orderBy(F.col("arb").desc(), "uri")
     judged = left.withColumn("_r", F.row_number().over(best)).withColumn("n", F.count("*").over(Window.partitionBy("column_name"))).filter("_r = 1")
     judged = judged.select("column_name", F.col("uri").alias("j_uri"), F.when(F.col("n") == 1, 0.66).otherwise(F.least(F.lit(0.85), F.greatest(F.lit(0.65), F.round("arb", 2)))).alias("j_conf"), F.when(F.col("n") == 1, "AxiomFilter-Unique").otherwise("Arbiter-Reranked").alias("j_method"), (F.col("n") > 1).alias("j_review"))

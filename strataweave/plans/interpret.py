@@ -34,9 +34,9 @@ def analyze(table: DataFrame, row_id: str, triples: DataFrame, arbiter=None) ->
     spark = table.sparkSession
     stats = column_stats(table.drop(row_id))
     columns = spark.createDataFrame(column_roles(stats).collect(), column_roles(stats).schema)
-    properties = O.properties(triples).cache()
+    properties = P.small(O.properties(triples))
     asked = columns.filter("role <> 'Skip'")
-    first = P.resolve(asked, properties, arbiter=arbiter).cache()
+    first = P.small(P.resolve(asked, properties, arbiter=arbiter))
     votes = first.filter(F.col("confidence") >= VOTE).select(F.explode("domains").alias("d")).groupBy("d").count().orderBy(F.col("count").desc(), "d").head(1)
     majority = votes[0].d if votes else None
     predicates = first
@@ -45,9 +45,10 @@ def analyze(table: DataFrame, row_id: str, triples: DataFrame, arbiter=None) ->
         if odd.limit(1).count():
             again = P.resolve(asked.join(odd, "column_name", "left_semi"), properties, majority, arbiter).alias("n")
             better = again.join(first.select("column_name", F.col("confidence").alias("was")), "column_name").filter((F.col("confidence") >= ACCEPT) & (F.array_contains("domains", majority) | (F.col("confidence") >= F.col("was")))).drop("was")
-            predicates = first.join(better.select("column_name"), "column_name", "left_anti").unionByName(better).cache()
+            predicates = first.join(better.select("column_name"), "column_name", "left_anti").unionByName(better)
     primary = next((r.column_name for r in columns.filter("role = 'Entity ID'").orderBy("ordinal").select("column_name").head(1)), None)
-    pairs = E.anchors(columns, primary).cache()
+    predicates = P.small(predicates)
+    pairs = P.small(E.anchors(columns, primary))
     sibling = E.sibling_anchor(pairs)
     domains = pairs.join(predicates.select(F.col("column_name").alias("sibling"), F.explode_outer("domains").alias("d")), "sibling", "left").groupBy("anchor", "prefix").agg(F.min("d").alias("anchor_domain"))
     links = [(r.anchor, r.link_uri) for r in E.link_property(domains, properties, majority).orderBy("anchor").collect()]
@@ -63,7 +64,7 @@ def table_to_triples(table: DataFrame, row_id: str, triples: DataFrame, arbiter=
         values = cells(table.select(*(F.col(f"`{c}`") for c in open_roles))).filter("value is not null").select("column_name", "value").distinct()
         ranges = ctx.predicates.select("column_name", "ranges")
         values = values.join(F.broadcast(ranges), "column_name").filter(~E.is_literal(F.col("value"), F.lit("Categorical"), F.col("ranges"))).cache()
-        concepts = P.concept_matches(values, O.classes(triples), values.select("value", F.explode("ranges").alias("range")))
+        concepts = P.concept_matches(values, P.small(O.classes(triples)), values.select("value", F.explode("ranges").alias("range")))
     else:
         concepts = spark.createDataFrame([], "value string, uri string, confidence double, method string")
     out = E.emit(table, row_id, ctx.columns, ctx.predicates, ctx.primary, ctx.sibling, concepts, O.disjoint_declared(triples))

@@ -403,7 +403,7 @@ def bounds_veto(spark, sf_dir):
 @query("resolve_columns")
 def resolve_columns(spark, sf_dir):
     stats = A.column_roles(A.column_stats(table(spark, sf_dir, "orders")))
-    return P.resolve(stats.filter("role <> 'Skip'"), O.properties(trade_ontology(spark))).drop("domains", "ranges")
+    return P.resolve(P.small(stats.filter("role <> 'Skip'")), P.small(O.properties(trade_ontology(spark)))).drop("domains", "ranges")
 
 
 @query("concept_lookup", "select distinct c_mktsegment as value, 'urn:trade:' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as uri, 0.98::double as confidence, 'Concept-StringMatch' as method from customer")

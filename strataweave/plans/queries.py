@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from strataweave.functions import cells as C
 from strataweave.functions import normalize as N
 from strataweave.functions import similarity as S
+from strataweave.operators import anchoring as G
 from strataweave.operators import emit as E
 from strataweave.operators import fusion as U
 from strataweave.operators import matching as M
+from strataweave.operators import mesh as B
 from strataweave.operators import metrics as X
 from strataweave.operators import ontology as O
 from strataweave.operators import predicate as P
 from strataweave.operators import profile as A
 from strataweave.operators import retrieval as R
+from strataweave.operators import spans as W
 from strataweave.operators import text as T
 from strataweave.plans import interpret
 from strataweave.plans.fixtures import CELLS, CEA, CPA, CTA, CLAUSES, trade_ontology
@@ -622,4 +625,57 @@ def normalized_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", N.normalize_identifier(F.col("p_type")).alias("ident"))
 
 
+# ---- anchors, mesh and spans
+
+@query("scheme_coverage", "select 'c_mktsegment' as column_name, s as scheme, round(count(distinct case when hit then v end)::double / count(distinct v), 9) as coverage from (select c_mktsegment as v, s, lower(c_mktsegment) = any(l) as hit from customer, (values ('goods', ['furniture', 'machinery', 'household']), ('all', ['automobile', 'building', 'furniture', 'machinery', 'household'])) t(s, l)) group by s")
+def scheme_coverage(spark, sf_dir):
+    rows = [("goods", x) for x in ("Furniture", "Machinery", "Household")] + [("all", x) for x in ("Automobile", "Building", "Furniture", "Machinery", "Household")]
+    out = G.scheme_coverage(table(spark, sf_dir, "customer").select("c_mktsegment"), spark.createDataFrame(rows, "scheme string, label string"))
+    return out.withColumn("coverage", F.round("coverage", 9))
+
+
+@query("id_overlap", "select 'o_custkey' as column_name, 'customer' as kind, round(count(distinct c_custkey)::double / count(distinct o_custkey), 9) as overlap from orders left join (select c_custkey from customer where c_custkey % 2 = 0) on o_custkey = c_custkey")
+def id_overlap(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    return G.id_overlap(table(spark, sf_dir, "orders").select("o_custkey"), known).withColumn("overlap", F.round("overlap", 9))
+
+
+@query("ordered_pairs", "select 'p_size' as low, 'p_retailprice' as high from part having bool_and(p_size <= p_retailprice) and bool_or(p_size < p_retailprice)")
+def ordered_pairs(spark, sf_dir):
+    return G.ordered_pairs(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
+
+
+@query("three_phase_columns")
+def three_phase_columns(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_name", "p_size", "p_type", "p_partkey")
+    kinds = part.select(F.lit("types").alias("scheme"), F.col("p_type").alias("label")).distinct()
+    rules = [G.IntegerRule("size", 0.95, 0, 80), G.IntegerRule("key", 0.95, least_max=80)]
+    found = G.annotate(part, A.profile3(part), G.scheme_coverage(part, kinds), {"types": "hasType"}, rules, "label", ("comment", "name"), {})
+    return spark.createDataFrame(found, "column_name string, property string, confidence double, phase string")
+
+
+def _mesh(spark):
+    cells = spark.createDataFrame([(1, "a_target", "The Raven Staff"), (1, "b_parts", "3x Spiritwood Plank + 2x Ingot"), (1, "c_from", "Hobbs in Lion's Arch"), (2, "a_target", "Clover"), (2, "c_from", "5g 50s")], "row_id int, col string, value string")
+    known = spark.createDataFrame([("the raven staff", "urn:e:staff", "Precursor"), ("Spiritwood Plank", "urn:e:plank", "Material")], "label string, iri string, type string")
+    return B.link(B.parts(cells), known)
+
+
+@query("mesh_edges", """select * from (values (1, 'urn:e:staff', 'requiresIngredient', 'urn:e:plank', 3.0::double, 'table'), (1, 'urn:e:staff', 'requiresIngredient', 'urn:strataweave:id/ingot', 2.0, 'table'),
+(1, 'urn:e:staff', 'soldBy', 'urn:strataweave:id/hobbs', null, 'table'), (1, 'urn:strataweave:id/hobbs', 'locatedInZone', 'urn:strataweave:id/lion_s_arch', null, 'table'),
+(2, 'urn:strataweave:id/clover', 'costs', 'urn:strataweave:id/gold', 5.0, 'table'), (2, 'urn:strataweave:id/clover', 'costs', 'urn:strataweave:id/silver', 50.0, 'table')) t(row_id, s, p, o, quantity, provenance)""")
+def mesh_edges(spark, sf_dir):
+    return B.edges(_mesh(spark), ("Precursor",))
+
+
+@query("mesh_nodes", "select * from (values ('urn:e:staff', 'matched', 1::bigint), ('urn:e:plank', 'matched', 1), ('urn:strataweave:id/ingot', 'minted', 1), ('urn:strataweave:id/hobbs', 'minted', 1), ('urn:strataweave:id/lion_s_arch', 'minted', 1), ('urn:strataweave:id/clover', 'minted', 1), ('urn:strataweave:id/gold', 'minted', 1), ('urn:strataweave:id/silver', 'minted', 1)) t(iri, provenance, n_mentions)")
+def mesh_nodes(spark, sf_dir):
+    return B.nodes(_mesh(spark)).select("iri", "provenance", "n_mentions")
+
+
+@query("entity_spans", "select 1 as doc_id, 3 as start, 19 as \"end\", 'Spiritwood Plank' as name, 'Material' as kind, 3.0::double as quantity union all select 1, 24, 29, 'Ingot', 'Material', null")
+def entity_spans(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "3x Spiritwood Plank and Ingot, not Ingots"), (2, None)], "doc_id int, text string")
+    return W.entity_spans(docs, [("Spiritwood Plank", "Material"), ("Plank", "Material"), ("Ingot", "Material")])
+
+
 __all__ = ["QUERIES", "SQL"]

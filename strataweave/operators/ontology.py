@@ -296,3 +296,59 @@ def extension_proposals(mentions: DataFrame, known: DataFrame, namespace: str) -
     norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_")
     new = mentions.select("mention").distinct().join(known.select(norm(F.col("label")).alias("k")).distinct(), norm(F.col("mention")) == F.col("k"), "left_anti")
     return new.select("mention", F.concat(F.lit(namespace), F.regexp_replace(norm(F.col("mention")), "^_+|_+$", "")).alias("proposed_iri"))
+
+
+def restrictions(triples: DataFrame) -> DataFrame:
+    """(class_uri, property, kind, value): OWL restrictions a class stands under, cardinalities included."""
+    node = of(triples, OWL + "onProperty").select(F.col("s").alias("node"), F.col("o").alias("property"))
+    kinds = [OWL + k for k in ("someValuesFrom", "allValuesFrom", "hasValue", "cardinality", "minCardinality", "maxCardinality", "qualifiedCardinality", "minQualifiedCardinality", "maxQualifiedCardinality")]
+    said = of(triples, *kinds).select(F.col("s").alias("node"), local_name(F.col("p")).alias("kind"), F.col("o").alias("value"))
+    under = of(triples, RDFS + "subClassOf", OWL + "equivalentClass").select(F.col("s").alias("class_uri"), F.col("o").alias("node"))
+    return under.join(node, "node").join(said, "node").select("class_uri", "property", "kind", "value")
+
+
+def cardinality_violations(facts: DataFrame, limits: DataFrame) -> DataFrame:
+    """facts(s, p, o) and limits(p, least, most, null where open) -> (s, p, n): subjects with too few or too many distinct values."""
+    counted = facts.groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
+    over = (F.col("n") > F.col("most")) | (F.col("n") < F.col("least"))
+    return counted.join(F.broadcast(limits), "p").filter(over).select("s", "p", "n")
+
+
+def entity_catalog(triples: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One row per typed individual: type, label, alt_labels, and a column per group holding the value of the group's first
+    predicate that has one. ``groups`` maps a column to its predicates by priority."""
+    facts = triples.join(F.broadcast(individuals(triples).select("uri").distinct()), F.col("s") == F.col("uri"), "left_semi")
+    pick = []
+    for name, predicates in groups.items():
+        rank = F.coalesce(*(F.when(F.col("p") == p, F.lit(i)) for i, p in enumerate(predicates)))
+        pick.append(F.min_by(F.when(rank.isNotNull(), F.col("o")), F.when(rank.isNotNull(), F.struct(rank, F.col("o")))).alias(name))
+    wide = facts.groupBy(F.col("s").alias("uri")).agg(*pick) if pick else facts.select(F.col("s").alias("uri")).distinct()
+    types = individuals(triples).groupBy("uri").agg(F.min("type").alias("type"))
+    return wide.join(types, "uri").join(labels(facts).select("uri", "label", "alt_labels"), "uri")
+
+
+def find_by_label(triples: DataFrame, text: str, exact: bool = True, case_sensitive: bool = False) -> DataFrame:
+    """(uri, label): individuals with a label equal to, or holding, ``text``."""
+    said = of(triples, RDFS + "label", SKOS + "prefLabel", SKOS + "altLabel").select(F.col("s").alias("uri"), F.col("o").alias("label"))
+    a, b = (F.col("label"), F.lit(text)) if case_sensitive else (F.lower("label"), F.lit(text.lower()))
+    return said.filter(a == b if exact else a.contains(b)).join(individuals(triples).select("uri").distinct(), "uri", "left_semi").distinct()
+
+
+def predicate_signatures(triples: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(key, uri, domains, ranges): a property under its IRI, its local name and, with prefixes(prefix -> namespace), its short form."""
+    props = properties(triples).select("uri", "domains", "ranges")
+    keys = [F.col("uri"), local_name(F.col("uri"))]
+    keys += [F.when(F.col("uri").startswith(ns), F.concat(F.lit(p + ":"), F.substring("uri", F.lit(len(ns) + 1), F.length("uri")))) for p, ns in (prefixes or {}).items()]
+    return props.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), "uri", "domains", "ranges")
+
+
+def compatible_properties(triples: DataFrame, subject_type: str, object_type: str) -> DataFrame:
+    """(uri): properties whose expected domain and range, where they have one, hold the two types or an ancestor of them."""
+    up = closure(class_edges(triples)).select("child", "ancestor")
+    above = lambda t: [t, *(r.ancestor for r in up.filter(F.col("child") == t).collect())]  # noqa: E731  ancestors of one class
+    ends = expected_ends(triples).groupBy("uri").agg(F.collect_set(F.when(F.col("end") == "domain", F.col("class_uri"))).alias("d"), F.collect_set(F.when(F.col("end") == "range", F.col("class_uri"))).alias("r"))
+    fits = lambda c, t: (F.size(c) == 0) | F.arrays_overlap(F.col(c) if isinstance(c, str) else c, F.array(*(F.lit(x) for x in above(t))))
+    named = properties(triples).select("uri").join(ends, "uri", "left")
+    empty = F.array().cast("array<string>")
+    named = named.withColumns({"d": F.coalesce("d", empty), "r": F.coalesce("r", empty)})
+    return named.filter(fits(F.col("d"), subject_type) & fits(F.col("r"), object_type)).select("uri")

@@ -381,6 +381,19 @@ def extension_proposals(spark, sf_dir):
     return O.extension_proposals(mentions, part.select(F.col("p_name").alias("label")).distinct(), "urn:new:")
 
 
+@query("cardinality", "select 'urn:order:' || l_orderkey as s, 'urn:hasLine' as p, count(distinct l_linenumber) as n from lineitem group by l_orderkey having count(distinct l_linenumber) > 5 or count(distinct l_linenumber) < 2")
+def cardinality(spark, sf_dir):
+    limits = spark.createDataFrame([("urn:hasLine", 2, 5)], "p string, least int, most int")
+    return O.cardinality_violations(_order_triples(spark, sf_dir), limits)
+
+
+@query("entity_catalog", "select 'urn:order:' || o_orderkey as uri, 'urn:Order' as type, o_orderkey::varchar as label, case when o_orderstatus = 'P' then cast(o_totalprice as varchar) else o_orderstatus end as state from orders")
+def entity_catalog(spark, sf_dir):
+    triples = _order_triples(spark, sf_dir).filter("p <> 'urn:hasLine'")
+    out = O.entity_catalog(triples, {"state": ("urn:status", "urn:price")})
+    return out.select("uri", "type", F.element_at(F.split("uri", ":"), -1).alias("label"), "state")
+
+
 # ---- resolving and emitting
 
 @query("predicate_ladder")

@@ -6,11 +6,14 @@ are the likelier the more alike the sets are. Bands of register values name buck
 linked. Candidates get a joint estimate of their similarity by maximum likelihood from how many registers are larger,
 smaller and equal; those not clearly below the threshold are verified on their full shingle sets.
 
-No bucket is expanded into all its pairs. Documents with equal sets are one class from the start. Then in each round a
-few members of a bucket (its centres) meet the members not yet in their component; links are verified, components
-joined, centres retired, and a bucket whose members are all in one component is done. A pair is left untested only if
-its documents are already connected, so the components are those of all links. The number of
-centres grows from round to round.
+No bucket is expanded into all its pairs. Documents with equal sets are one class from the start. First every bucket's
+smallest member meets the others; links are verified and components joined. Buckets that still hold more than one
+component go on, after an exact bound has thinned them: a shingle that only one of the documents left has is shared with
+none of them, so the rest of its set bounds every overlap. Under that bound two documents that both have many shingles
+of their own cannot be linked, however alike they are; only pairs with a "solid" member remain. Round by round a few
+solid members of a bucket (centres, more from round to round) meet the members not yet in their component and are then
+retired. A pair is left untested only if it is already connected or the bound rules it out, so the components are
+those of all links.
 
 Memory: sketches and shingle sets live one document at a time; what crosses the cluster per document is its registers
 and its band keys, and the text of candidates.
@@ -34,11 +37,15 @@ SHINGLE_WORDS = 5
 REGISTERS = 131
 BANDS, BAND_ROWS = 32, 4
 RATE, BASE, TOP = 20.0, 1.001, 65534
-#: Candidates whose likelihood estimate is this far below the threshold are not verified: over five standard errors.
-SLACK = 0.2
+#: Candidates whose likelihood estimate is this far below the threshold are not verified: about five standard errors.
+SLACK = 0.15
+#: Solid members of a bucket that the first round after the bound tries; four times as many in each later one.
+CENTRES = 8
 #: Partners whose texts are verified against one copy of a centre's.
 CHUNK = 256
 THRESHOLD = 0.8
+#: Links up to this many are joined to components by one task (about 16 MB, as much as a broadcast may hold); more by joins.
+ONE_TASK_LINKS = 500_000
 
 _j = np.arange(REGISTERS + 1, dtype=np.float64)
 with np.errstate(divide="ignore"):
@@ -157,45 +164,74 @@ def _verified(percent: int):
     return run
 
 
-def join_components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, comp): smallest node reachable by ``links`` (a, b), for nodes with a link; ``labels`` from earlier rounds hold on.
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
 
-    Each pass hooks every node to its smallest neighbour, shortens the hooks, and keeps the links between different roots.
-    """
-    edges = links.select("a", "b")
-    if labels is not None:
-        for x in ("a", "b"):
-            own = labels.select(F.col("node").alias(x), F.col("comp").alias(f"_{x}"))
-            edges = edges.join(smaller(own, 32), x, "left").withColumn(x, F.coalesce(f"_{x}", x)).drop(f"_{x}")
-    edges = materialize(edges.filter("a <> b").distinct(), "cc-edges")
-    hooks: DataFrame | None = None
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], ["node", "comp"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """links(a, b), materialised -> (node, comp): smallest node reachable, for nodes with a link."""
+    if links.count() <= one_task:
+        return materialize(links.coalesce(1).mapInArrow(_union, "node long, comp long"), "cc-task")
+    # Each pass hooks every node to its smallest neighbour, shortens the hooks, and keeps the links between different ends.
+    edges, hooks = links.select("a", "b"), None
     while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp"))
         up = materialize(up, "cc-hooks")
-        while True:  # every hook points down, so chains shorten to their ends
+        while True:
             above = up.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-            up = up.join(smaller(above, 32), F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"), (F.col("_c") < F.col("comp")).alias("moved"))
+            up = up.join(above, F.col("comp") == F.col("_n")).select("node", F.col("_c").alias("comp"), (F.col("_c") < F.col("comp")).alias("moved"))
             up = materialize(up, "cc-hooks")
             if not up.filter("moved").limit(1).count():
                 break
             up = up.drop("moved")
         up = up.drop("moved")
-        hooks = up if hooks is None else materialize(_follow(hooks, up).unionByName(up.join(smaller(hooks.select("node"), 24), "node", "left_anti")), "cc-all")
+        if hooks is None:
+            hooks = up
+        else:
+            step = up.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+            hooks = materialize(hooks.join(step, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp")), "cc-all")
         for x in ("a", "b"):
             own = up.select(F.col("node").alias(x), F.col("comp").alias(f"_{x}"))
-            edges = edges.join(smaller(own, 32), x).select(*(F.col(f"_{x}").alias(x) if c == x else c for c in ("a", "b")))
+            edges = edges.join(own, x).select(*(F.col(f"_{x}").alias(x) if c == x else c for c in ("a", "b")))
         edges = materialize(edges.filter("a <> b").distinct(), "cc-edges")
-    if hooks is None:
-        return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
-    if labels is not None:
-        hooks = materialize(_follow(labels, hooks).unionByName(hooks.join(smaller(labels.select("node"), 24), "node", "left_anti")), "cc-all")
-    return hooks
+    return hooks if hooks is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
+
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = b.column("rep").to_numpy()
+        for at in range(0, len(b), 100):
+            part = Words(b.column("text").slice(at, 100), lower=True)
+            sets = [shingle_set(part.of(i), SHINGLE_WORDS).astype(np.int64) for i in range(len(part))]
+            owner = np.repeat(ids[at : at + len(part)], [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets))], ["rep", "shingle"])
+
+
+def _reach(live: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """live -> also ``most``: the largest set a member could be linked with, from the shingles no other live document has.
 
-def _follow(old: DataFrame, new: DataFrame) -> DataFrame:
-    step = new.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-    return old.join(smaller(step, 32), F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
+    An overlap is at most n - own; n_y > overlap * (1 + 1 / t) - n rules y out. Members whose ``most`` is under t * n go.
+    """
+    asked = materialize(live.select("rep").distinct(), "near-asked")
+    rows = texts.join(smaller(asked, 16), F.col("doc_id") == F.col("rep")).select("rep", "text")
+    seen = rows.mapInArrow(_shingle_rows, "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    own = seen.filter("rep = other").groupBy("rep").agg(F.count("*").alias("own"))
+    out = live.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    out = out.withColumn("most", F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n")).drop("own")
+    return materialize(out.filter(f"100 * most >= {percent} * n"), "near-reach")
 
 
 def near_components(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,33 +246,38 @@ def near_components(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
     members = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n_in")).filter("n_in > 1").select("bucket")
     members = materialize(members.join(crowded, "bucket"), "near-members")
-    active = members
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    centres_each = 1
+    # Round 0: the smallest member of each bucket meets the others.
+    first = members.groupBy("bucket").agg(F.min(F.struct(F.col("rep").alias("a"), F.col("n").alias("_n"))).alias("c")).select("bucket", "c.*")
+    pairs = members.join(first, "bucket").filter(f"rep > a and 100 * least(n, _n) >= {percent} * greatest(n, _n)").select("a", F.col("rep").alias("b"))
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    links = _links(pairs, reps, texts, percent)
+    labels = components(links)
+    tested, active, each = pairs, members.join(first.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti"), CENTRES
+    reached = False
     while True:
-        if labels is None:
-            live = active.withColumn("comp", F.col("rep"))
-        else:
-            own = labels.select(F.col("node").alias("rep"), "comp")
-            live = active.join(smaller(own, 32), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-            live = materialize(live.join(smaller(materialize(open_, "near-open"), 24), "bucket"), "near-live")
-            if not live.limit(1).count():
-                break
+        own = labels.select(F.col("node").alias("rep"), "comp")
+        live = active.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        # Open buckets hold two components and, once the bound is known, a solid member.
+        solid = F.max((F.col("most") >= F.col("n")) if reached else F.lit(True))
+        open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), solid.alias("solid")).filter("lo < hi and solid").select("bucket")
+        live = materialize(live.join(open_, "bucket"), "near-live")
+        if not live.limit(1).count():
+            break
+        if not reached:
+            active, reached = _reach(live.drop("comp"), texts, percent), True
+            continue
         order = Window.partitionBy("bucket").orderBy("rep")
-        centres = live.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= centres_each).drop("_r")
-        centres = materialize(centres.select("bucket", F.col("rep").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp")), "near-centres")
-        pairs = live.join(centres, "bucket").filter((F.col("comp") != F.col("_comp")) & (F.col("rep") > F.col("a")))
-        pairs = pairs.filter(f"100 * least(n, _n) >= {percent} * greatest(n, _n)").select("a", F.col("rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = join_components(_links(pairs, reps, texts, percent), labels)
-        gone = centres.select("bucket", F.col("a").alias("rep"))
-        active = materialize(live.drop("comp").join(smaller(gone, 24), ["bucket", "rep"], "left_anti"), "near-active")
-        centres_each *= 4
+        centres = live.filter("most >= n").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).drop("_r")
+        centres = materialize(centres.select("bucket", F.col("rep").alias("a"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("comp").alias("_comp")), "near-centres")
+        met = (F.col("bucket") == F.col("_bucket")) & (F.col("comp") != F.col("_comp")) & (F.col("n") <= F.col("_most")) & (F.col("_n") <= F.col("most"))
+        met = met & ((F.col("rep") > F.col("a")) | (F.col("most") < F.col("n"))) & F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
+        pairs = live.join(centres.withColumnRenamed("bucket", "_bucket"), met).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = tested.unionByName(pairs)
+        links = materialize(links.unionByName(_links(pairs, reps, texts, percent)), "near-links-all")
+        labels = components(links)
+        active = live.drop("comp").join(centres.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
+        each *= 4
     return docs, reps, labels
 
 
@@ -247,7 +288,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
         pairs = pairs.join(own, x)
     likely = materialize(pairs.mapInArrow(_estimates(percent / 100 - SLACK), "a long, b long"), "near-likely")
     # Each centre's partners are dealt in chunks; a chunk gets one copy of the centre's text.
-    dealt = likely.join(smaller(materialize(likely.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "near-chunks"), 32), "a")
+    dealt = likely.join(likely.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "a")
     dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("part"))
     seconds = dealt.select(F.xxhash64("a", "part").alias("chunk"), F.lit(True).alias("second"), F.col("b").alias("doc"))
     firsts = dealt.select(F.xxhash64("a", "part").alias("chunk"), F.lit(False).alias("second"), F.col("a").alias("doc")).distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 16 << 20
 
 _local_root: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if _local_root is None:
         _local_root = f"/tmp/checkpoints/strataweave-{uuid.uuid4().hex}"
-        atexit.register(shutil.rmtree, _local_root, True)
     return _local_root
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strataweave/{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append(f"{shared_dir(spark)}/strataweave/{tag}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release() -> None:
+    """Delete the tables this process wrote to the shared folder; results that still read them are gone with it.
+
+    Runs when the process ends with its session still up; a job that ends otherwise leaves its folder to the cluster.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    _written.clear()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

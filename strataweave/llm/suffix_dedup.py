@@ -2,12 +2,13 @@
 
 A text is a string of words. Minimisers of its k-word windows (a window's k-mer with the smallest hash among ``WINDOW``
 successive ones) are selected by content alone, so equal passages of k + WINDOW - 1 words or more share one. Only the
-suffixes that start at minimisers are kept, and of those only the ones whose k-mer occurs elsewhere. They are sorted
+suffixes that start at minimisers are kept, and of those only the ones whose k-mer seems to occur elsewhere (a Bloom
+filter of fixed size, made of the k-mers counted twice or more). They are sorted
 by their words over the cluster (a range sort, so one frequent passage spreads over tasks); each suffix is compared
 with its neighbours in the order, the match is extended to the left, and matches of ``MIN_WORDS`` words or more mark
 their words. Marks of one text that touch are joined.
 
-Words are compared by 32-bit hashes of a bounded context on either side. A longer passage has minimisers all along it,
+Words are compared by 16-bit hashes (the k-mer by all 64 bits) of a bounded context on either side. A longer passage has minimisers all along it,
 so its marks overlap and join to the whole.
 """
 
@@ -20,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import bounded_batches, materialize, pick, smaller
+from strataweave.llm.common import bounded_batches, materialize, pick
 from strataweave.llm.words import Words, window_hashes
 
 MIN_WORDS = 50
 #: k-mer length and minimiser window; K + WINDOW - 1 must not exceed MIN_WORDS.
-K, WINDOW = 12, 32
+K, WINDOW = 12, 38
 #: Words of context kept to the right of a suffix's start (its own k-mer included) and to the left of it.
-RIGHT, LEFT = 64, 40
+RIGHT, LEFT = 50, 38
+#: Bits of the Bloom filter of frequent k-mers (8 MB whatever the input). Where it fills up, more suffixes are sorted
+#: that have no equal; the result is the same.
+FILTER_BITS = 1 << 26
 
 
 def minimisers(kmers: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -61,45 +65,64 @@ def _sliding(x: np.ndarray, window: int, pick_one) -> np.ndarray:
 
 def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column("doc_id").to_numpy()
         for at in range(0, len(b), 200):
-            part = Words(b.column("text").slice(at, 200))
-            docs, kmer, place = [], [], []
+            part, kmer = Words(b.column("text").slice(at, 200)), []
             for i in range(len(part)):
                 own = window_hashes(part.of(i), K)
-                found = minimisers(own)
-                docs.append(np.full(len(found), ids[at + i]))
-                kmer.append(own[found].astype(np.int64))
-                place.append(found.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(kmer)), pa.array(np.concatenate(place))], ["doc_id", "kmer", "place"])
+                kmer.append(own[minimisers(own)].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kmer))], ["kmer"])
+
+
+def _filter_slots(kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(FILTER_BITS - 1)
+    return kmers & mask, (kmers >> np.uint64(32)) & mask
+
+
+def frequent_filter(kmers: DataFrame) -> np.ndarray:
+    """Bits (as uint64 words) of the k-mers that occur more than once. What reaches the driver is bounded by the filter."""
+    often = kmers.groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 1")
+    slots = F.explode(F.array(F.col("kmer").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("kmer", 32).bitwiseAND(FILTER_BITS - 1)))
+    words = often.select(slots.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return bits.view(np.uint64)
 
 
 _SUFFIX = "kmer long, suffix binary, prefix binary, doc_id long, place int"
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text, the suffixes at the wanted places: words to the right, and words to the left in reverse order."""
-    names = [f.split()[0] for f in _SUFFIX.split(", ")]
-    for b in batches:
-        ids, places = b.column("doc_id").to_pylist(), b.column("places").to_pylist()
-        for at in range(0, len(b), 200):
-            part, rows = Words(b.column("text").slice(at, 200)), []
-            for i in range(len(part)):
-                own = part.of(i)
-                kmers = window_hashes(own, K)
-                short = (own >> np.uint64(32)).astype(">u4")
-                for p in places[at + i]:
-                    if p < len(kmers):  # else these are places of another text with the same doc_id
-                        rows.append((int(kmers[p].astype(np.int64)), short[p : p + RIGHT].tobytes(), short[max(0, p - LEFT) : p][::-1].tobytes(), ids[at + i], p))
-            if rows:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _contexts(shared):
+    """The kept suffixes of each text: words to the right, and words to the left in reverse order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _SUFFIX.split(", ")]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+        bits = shared.value
+        held = lambda slot: (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        for b in batches:
+            ids = b.column("doc_id").to_pylist()
+            for at in range(0, len(b), 100):
+                part, rows = Words(b.column("text").slice(at, 100)), []
+                for i in range(len(part)):
+                    own = part.of(i)
+                    kmers = window_hashes(own, K)
+                    found = minimisers(kmers)
+                    one, two = _filter_slots(kmers[found])
+                    found = found[held(one) & held(two)]
+                    short = (own >> np.uint64(48)).astype(">u2")
+                    for p, k in zip(found.tolist(), kmers[found].astype(np.int64).tolist(), strict=True):
+                        rows.append((k, short[p : p + RIGHT].tobytes(), short[max(0, p - LEFT) : p][::-1].tobytes(), ids[at + i], p))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
 
 
 def _common(a: bytes, b: bytes) -> int:
     """Leading words two contexts share."""
-    n = min(len(a), len(b)) // 4
-    differ = np.flatnonzero(np.frombuffer(a, "<u4", n) != np.frombuffer(b, "<u4", n))
+    n = min(len(a), len(b)) // 2
+    differ = np.flatnonzero(np.frombuffer(a, "<u2", n) != np.frombuffer(b, "<u2", n))
     return int(differ[0]) if len(differ) else n
 
 
@@ -179,12 +202,9 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
         raise ValueError(f"min_words must be {K + WINDOW - 1} or more")
     bounded_batches(documents.sparkSession)
     texts = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    chosen = materialize(texts.mapInArrow(_select, "doc_id long, kmer long, place int").distinct(), "suffix-places")
-    often = chosen.groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 1").select("kmer")
-    kept = chosen.join(often, "kmer").groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    kept = materialize(kept, "suffix-kept")
-    wide = texts.join(smaller(kept, 400), "doc_id")
-    suffixes = materialize(wide.mapInArrow(_contexts, _SUFFIX), "suffix-contexts")
+    bits = frequent_filter(texts.select("text").mapInArrow(_select, "kmer long"))
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+    suffixes = texts.mapInArrow(_contexts(shared), _SUFFIX)
     names = ("kmer", "suffix", "prefix", "doc_id", "place")
     ordered = suffixes.repartitionByRange(*names).sortWithinPartitions(*names)
     met = materialize(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_neighbours(min_words), _MARK), "suffix-met")

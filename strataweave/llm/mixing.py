@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import WORD, materialize, pick, smaller
+from strataweave.llm.common import SPACE, WORD, materialize, pick, smaller
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -146,7 +146,9 @@ def mix_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataF
     taken = smaller(taken, 80).select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     rows = rows.join(taken, ["_key", "_nth"]).withColumn("_full", F.expr("_taken div _size")).withColumn("_part", F.expr("_taken % _size"))
     rows = rows.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, cast(_full as int)), if(_part > 0, array(_part), array()))")))
-    cut = F.expr(rf"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){{', _words, '}}'), 0)")
-    text = F.when(F.col("_words") < F.col("_size"), F.rtrim(cut)).otherwise(F.col("text"))
+    # A text split where each word ends: the first n parts hold its first n words and what stands between them.
+    parts = F.split("text", rf"(?<=[^{SPACE}])(?=[{SPACE}])")
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")
+    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
     rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*documents.columns)

@@ -243,7 +243,7 @@ def near_components(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
     # A class: all documents of one set. Its registers are those of any of them.
     reps = docs.filter("print is not null and doc_id is not null").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
     reps = materialize(reps, "near-classes")
-    members = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
+    members = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep", F.col("n_shingles").alias("n"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n_in")).filter("n_in > 1").select("bucket")
     members = materialize(members.join(crowded, "bucket"), "near-members")
     # Round 0: the smallest member of each bucket meets the others.
@@ -264,13 +264,16 @@ def near_components(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
         if not live.limit(1).count():
             break
         if not reached:
-            active, reached = _reach(live.drop("comp"), texts, percent), True
+            own = reps.select("rep", "bands")
+            active, reached = materialize(_reach(live.drop("comp"), texts, percent).join(own, "rep"), "near-active"), True
             continue
         order = Window.partitionBy("bucket").orderBy("rep")
         centres = live.filter("most >= n").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).drop("_r")
-        centres = materialize(centres.select("bucket", F.col("rep").alias("a"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("comp").alias("_comp")), "near-centres")
+        centres = materialize(centres.select("bucket", F.col("rep").alias("a"), F.col("n").alias("_n"), F.col("most").alias("_most"), F.col("comp").alias("_comp"), F.col("bands").alias("_bands")), "near-centres")
         met = (F.col("bucket") == F.col("_bucket")) & (F.col("comp") != F.col("_comp")) & (F.col("n") <= F.col("_most")) & (F.col("_n") <= F.col("most"))
         met = met & ((F.col("rep") > F.col("a")) | (F.col("most") < F.col("n"))) & F.expr(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
+        # Two members may share many buckets: the first band they share speaks for the pair.
+        met = met & (F.array_position(F.zip_with("bands", "_bands", lambda x, y: x == y), True) == F.col("band") + 1)
         pairs = live.join(centres.withColumnRenamed("bucket", "_bucket"), met).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)

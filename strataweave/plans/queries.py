@@ -547,6 +547,17 @@ def sentences(spark, sf_dir):
     return docs.select("doc_id", F.size(C.split_sentences(F.col("text"))).cast("long").alias("n"))
 
 
+_MASKED = "text"
+for _a in ("Vol.", "vol.", "e.g.", "i.e.", "vs.", "approx.", "ea.", "No.", "no."):
+    _MASKED = f"replace({_MASKED}, {_quoted(_a)}, chr(2))"
+
+
+@query("sentences_all", rf"select doc_id, len(list_filter(regexp_split_to_array(regexp_replace({_MASKED}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) as n from documents")
+def sentences_all(spark, sf_dir):
+    """Every document, abbreviations and all; ``sentences`` leaves out those that hold one."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(C.split_sentences(F.col("text"))).cast("long").alias("n"))
+
+
 @query("clauses_conversations")
 def clauses_conversations(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")

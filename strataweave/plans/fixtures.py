@@ -30,6 +30,12 @@ CLAUSES = [
     ("the zone is green", "DEONTIC_RULE", 0.75),
 ]
 
+#: (uri, alias) counted in whole documents: several aliases of one entity, several words, capitals, accents, words that are parts of others, one that never occurs.
+MENTIONS = [
+    ("urn:article", "the"), ("urn:article", "der"), ("urn:article", "la"), ("urn:of", "of"), ("urn:of", "of the"), ("urn:is", "IS"), ("urn:is", "ist"),
+    ("urn:that", "that"), ("urn:that", "que"), ("urn:to", "to the"), ("urn:to", "à"), ("urn:for", "für"), ("urn:for", "for"), ("urn:nothing", "zyzzyva"),
+]
+
 #: Predictions and truth: one entity by coordinates, one by mention, one unknown though expected, one wrong.
 CEA = (
     [(0, 0, "Raven", "urn:e/TheRaven"), (0, 1, "Plank", "urn:e/plank"), (1, 0, "Clover", "urn:e/unknown/clover"), (1, 1, "Ingot", "urn:e/stone")],

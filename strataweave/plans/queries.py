@@ -23,7 +23,7 @@ from strataweave.operators import retrieval as R
 from strataweave.operators import spans as W
 from strataweave.operators import text as T
 from strataweave.plans import interpret
-from strataweave.plans.fixtures import CELLS, CEA, CPA, CTA, CLAUSES, trade_ontology
+from strataweave.plans.fixtures import CELLS, CEA, CPA, CTA, CLAUSES, MENTIONS, trade_ontology
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -576,6 +576,21 @@ def entity_counts(spark, sf_dir):
     return T.entity_counts(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text")), names)
 
 
+# Every word between chr(1) and chr(2): a whole word is then a plain substring, also beside the same word.
+_BOUNDED = r"regexp_replace(lower({}), '([\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+)', chr(1) || '\1' || chr(2), 'g')"
+
+
+@query(
+    "entity_counts_documents",
+    f"""with names(uri, alias) as (values {", ".join(f"({_quoted(u)}, {_quoted(a)})" for u, a in MENTIONS)}), asked as (select uri, {_BOUNDED.format("alias")} as alias from names),
+texts as (select doc_id, {_BOUNDED.format("text")} as text from documents)
+select doc_id, uri, sum((length(text) - length(replace(text, alias, ''))) // length(alias))::bigint as n from texts, asked group by doc_id, uri having n > 0""",
+)
+def entity_counts_documents(spark, sf_dir):
+    """Mentions in whole documents; ``entity_counts`` meets one-word event types only, none of which is an alias."""
+    return T.entity_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.createDataFrame(MENTIONS, "uri string, alias string"))
+
+
 @query("sentence_relations", "select doc_id, sentence_no, subject, predicate, object from (values (1, 0, 'Staff', 'hasIngredient', 'Plank'), (1, 0, 'Staff', 'relatesTo', 'Vendor')) t(doc_id, sentence_no, subject, predicate, object)")
 def sentence_relations(spark, sf_dir):
     spans = spark.createDataFrame([(1, 0, 5, "Staff", "Item"), (1, 0, 20, "Plank", "Material"), (1, 0, 40, "Vendor", "NPC"), (1, 1, 0, "Alone", "Item")], "doc_id int, sentence_no int, start int, name string, kind string")

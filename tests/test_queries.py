@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from strataweave.plans.fixtures import MENTIONS
 from strataweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,15 @@ def test_sentences_of_every_document(spark):
     assert got == want and len(got) == len(docs)
     plain = {r.doc_id: len([x for x in re.split(r"(?<=[.!?])\s+", r.text) if x.strip()]) for r in docs}
     assert sum(plain[i] > n for i, n in want.items()) > 20  # the masking does something on these texts
+
+
+def test_mentions_in_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for r in docs:
+        for uri, alias in MENTIONS:
+            if n := len(re.findall(rf"(?<!\w){re.escape(alias)}(?!\w)", r.text, re.I)):
+                want[r.doc_id, uri] = want.get((r.doc_id, uri), 0) + n
+    got = {(r.doc_id, r.uri): r.n for r in QUERIES["entity_counts_documents"](spark, SF).collect()}
+    assert got == want and {u for _, u in got} == {u for u, _ in MENTIONS} - {"urn:nothing"}
+    assert sum(n > 1 for n in got.values()) > 100

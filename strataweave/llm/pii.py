@@ -107,7 +107,12 @@ _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.
 _LAST = "com|org|net|edu|gov|info|io|eu|de|fr|es|uk|ch|at|it|nl"
 _SPACED = re.compile(rf"\b([A-Za-z0-9._%+-]+) +at +([A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)* +dot +(?:{_LAST}))\b", re.I)
 _BARE = re.compile(r" +(at|dot) +", re.I)
-_SPELLED_CHUNKS = frozenset(w + end for w in SPELLED for end in ("", ",", "."))
+_WORDS = frozenset(SPELLED)
+
+
+def _lower(text: str) -> str:
+    """Lower case in which whatever re.I takes for a letter of a spelled digit is that letter."""
+    return text.lower() if text.isascii() else text.lower().replace("\u017f", "s").replace("\u0131", "i").replace("i\u0307", "i")
 
 
 def _may_hide(text: str) -> bool:
@@ -116,10 +121,11 @@ def _may_hide(text: str) -> bool:
         return True
     if _BRACKETED.search(text):
         return True
-    low = text.lower()
+    low = _lower(text)
     if " dot " in low:
         return True
-    return b"\1\1\1" in bytes(map(_SPELLED_CHUNKS.__contains__, low.replace("-", " ").split()))
+    # Of a run of LEAST_SPELLED words all but the outer two stand between separators of _RUN.
+    return b"\1\1\1" in bytes(map(_WORDS.__contains__, low.replace("-", " ").replace(",", " ").replace(".", " ").split()))
 
 
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arroba|punkt|point|punto)\s*[\])}>]", re.I)
@@ -127,7 +133,7 @@ _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arroba|punkt|point|punto)\s*[
 
 def _spelled(m: re.Match) -> str | None:
     words = _PARTS.findall(m[0])
-    return "".join(SPELLED[w.lower()] for w in words) if len(words) >= LEAST_SPELLED else None
+    return "".join(SPELLED[_lower(w)] for w in words) if len(words) >= LEAST_SPELLED else None
 
 
 def deobfuscate(text: str) -> Tape:

@@ -352,6 +352,28 @@ def test_pii_maps_back():
         assert pii.find_all(plain) == ([], [])
 
 
+@pytest.mark.parametrize("gap", [",", ".", "-", "... ", " - ", ",\n", " , ", ".,-", "\u00a0"])
+def test_pii_spelled_digits_with_any_separator(gap):
+    said = "+" + gap.join("four nine one five one two three four five six".split())
+    for text in (said, f"Call ({said})!", said.upper(), said.replace("six", "\u017f\u0131x")):
+        base, spans = pii.find_all(text)
+        assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in spans] == [("phone", text.strip("Cal ()!"))]
+    assert pii.find_all(gap.join(["one"] * 6)) == ([], [])
+
+
+def test_pii_filter_is_no_narrower_than_the_transducers():
+    rng = random.Random(9)
+    parts = [*pii.SPELLED, "\u017fix", "\u0130L", "+", "x", "at", "dot", "[", "]", "a@b", "com", "DOT", "(at)", "＠"]
+    hidden = 0
+    for _ in range(3000):
+        likely = rng.choice([parts, list(pii.SPELLED)])
+        text = "".join(rng.choice(likely) + rng.choice([" ", ",", ".", "-", "... ", "\t", "\u2003", ""][: rng.choice([1, 7, 8])]) for _ in range(rng.randint(1, 14)))
+        if pii.deobfuscate(text).text != text:
+            hidden += 1
+            assert pii._may_hide(text), text
+    assert hidden > 500
+
+
 def test_pii_rows(spark, odd):
     got = pii.find_pii(odd).collect()
     assert len(got) == odd.count() and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)

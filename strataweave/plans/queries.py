@@ -338,6 +338,28 @@ def chain(spark, sf_dir):
     return O.chain(_place_triples(spark, sf_dir), start, O.RDFS + "subClassOf")
 
 
+def _customers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("urn:customer:"), "c_custkey").alias("uri"))
+
+
+@query(
+    "paths_3hop_all",
+    """with c as (select 'urn:customer:' || c_custkey as c, c_nationkey as n, n_regionkey as r from customer join nation on c_nationkey = n_nationkey)
+select c as src, 'urn:world' as dst, 3 as hops, c || '>urn:nation:' || n || '>urn:region:' || r || '>urn:world' as path from c""",
+)
+def paths_3hop_all(spark, sf_dir):
+    """From every customer; ``paths_3hop`` starts from those up to key 20."""
+    triples = _place_triples(spark, sf_dir).filter(F.col("p") == O.RDFS + "subClassOf")
+    ends = _customers(spark, sf_dir).select(F.col("uri").alias("src"), F.lit("urn:world").alias("dst"))
+    return O.connecting_paths(triples, ends, 3, True).select("src", "dst", "hops", F.array_join("nodes", ">").alias("path"))
+
+
+@query("chain_all", f"{_UP} select child as uri, ancestor as node, distance as step from up where child like 'urn:customer:%' union all select 'urn:customer:' || c_custkey, 'urn:customer:' || c_custkey, 0 from customer")
+def chain_all(spark, sf_dir):
+    """From every customer; ``chain`` starts from those up to key 20."""
+    return O.chain(_place_triples(spark, sf_dir), _customers(spark, sf_dir), O.RDFS + "subClassOf")
+
+
 def _order_triples(spark, sf_dir) -> DataFrame:
     """Orders as focus nodes: status, price and one hasLine per line."""
     none = F.lit(None).cast("string")

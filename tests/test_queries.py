@@ -81,3 +81,11 @@ def test_mentions_in_whole_documents(spark):
     got = {(r.doc_id, r.uri): r.n for r in QUERIES["entity_counts_documents"](spark, SF).collect()}
     assert got == want and {u for _, u in got} == {u for u, _ in MENTIONS} - {"urn:nothing"}
     assert sum(n > 1 for n in got.values()) > 100
+
+
+def test_paths_and_chains_start_from_every_customer(spark):
+    n = spark.read.parquet(f"{SF}/customer.parquet").count()
+    paths = QUERIES["paths_3hop_all"](spark, SF).collect()
+    assert len(paths) == len({r.src for r in paths}) == n
+    steps = QUERIES["chain_all"](spark, SF).collect()
+    assert len(steps) == 4 * n and len({r.uri for r in steps}) == n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,20 +48,25 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
-def closure(edges: DataFrame, reflexive: bool = False, max_depth: int = 16, longest: bool = False) -> DataFrame:
-    """edges(child, parent) -> (child, ancestor, distance) with the shortest (or longest) distance; cycles end by themselves.
+def closure(edges: DataFrame, reflexive: bool = False, longest: bool = False) -> DataFrame:
+    """edges(child, parent) -> (child, ancestor, distance) with the shortest (or longest) distance, at any depth.
 
     Reach doubles from step to step (paths are joined with paths), so depth d takes log2(d) joins; a step that changes
-    nothing is the last.
+    nothing is the last. Shortest distances end by themselves on cycles; for longest ones a cycle counts as one class.
     """
     best = F.max if longest else F.min
     step = _settled(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).filter("child <> ancestor").dropDuplicates(["child", "ancestor"]))
-    size, reach = step.agg(F.count("*"), F.sum("distance")).first(), 1
-    while reach < max_depth:
+    size = step.agg(F.count("*"), F.sum("distance")).first()
+    while True:
         far = step.alias("a").join(step.alias("b"), F.col("a.ancestor") == F.col("b.child")).select(F.col("a.child"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        step = _settled(step.unionByName(far.filter("child <> ancestor")).groupBy("child", "ancestor").agg(best("distance").alias("distance")))
-        grown, reach = step.agg(F.count("*"), F.sum("distance")).first(), reach * 2
-        if grown == size:
+        # A class that is its own ancestor tells of a cycle, on which longest distances would grow for ever.
+        far = far if longest else far.filter("child <> ancestor")
+        step = _settled(step.unionByName(far).groupBy("child", "ancestor").agg(best("distance").alias("distance")))
+        *grown, looped = step.agg(F.count("*"), F.sum("distance"), F.count_if(F.col("child") == F.col("ancestor"))).first()
+        if looped:
+            step = _longest_over_cycles(edges)
+            break
+        if grown == list(size):
             break
         size = grown
     if reflexive:
@@ -68,6 +75,19 @@ def closure(edges: DataFrame, reflexive: bool = False, max_depth: int = 16, long
     return step
 
 
+def _longest_over_cycles(edges: DataFrame) -> DataFrame:
+    """Longest distances with classes that reach each other taken as one, at distance 0 from each other."""
+    up = closure(edges)
+    peers = _settled(up.select("child", "ancestor").join(up.select(F.col("ancestor").alias("child"), F.col("child").alias("ancestor")), ["child", "ancestor"]))
+    nodes = edges.select("child").union(edges.select("parent")).distinct()
+    one = nodes.join(peers.groupBy("child").agg(F.min("ancestor").alias("peer")), "child", "left")
+    one = _settled(one.select(F.col("child").alias("member"), F.least("child", "peer").alias("one")))
+    low, high = one.toDF("child", "low"), one.toDF("ancestor", "high")
+    met = edges.toDF("child", "ancestor").join(low, "child").join(high, "ancestor").select(F.col("low").alias("child"), F.col("high").alias("parent"))
+    far = closure(met, longest=True).toDF("low", "high", "distance")
+    return _settled(far.join(low, "low").join(high, "high").select("child", "ancestor", "distance").unionByName(peers.withColumn("distance", F.lit(0))))
+
+
 def class_edges(triples: DataFrame) -> DataFrame:
     return of(triples, RDFS + "subClassOf", SKOS + "broader").filter("o_kind = 'iri'").select(F.col("s").alias("child"), F.col("o").alias("parent"))
 
@@ -146,10 +166,10 @@ def properties(triples: DataFrame) -> DataFrame:
     return out.select("uri", "label", "pref_label", "alt_labels", "comment", "property_type", "domains", "ranges", F.coalesce("lo", worded(1)).alias("min_inclusive"), F.coalesce("hi", worded(2)).alias("max_inclusive"))
 
 
-def class_depth(triples: DataFrame, max_depth: int = 16) -> DataFrame:
+def class_depth(triples: DataFrame) -> DataFrame:
     """(uri, depth): longest path up to owl:Thing; a class without parents is at 1."""
     edges = class_edges(triples).filter(F.col("parent") != THING)
-    far = closure(edges, max_depth=max_depth, longest=True).groupBy(F.col("child").alias("uri")).agg(F.max("distance").alias("distance"))
+    far = closure(edges, longest=True).groupBy(F.col("child").alias("uri")).agg(F.max("distance").alias("distance"))
     every = edges.select(F.col("child").alias("uri")).union(edges.select("parent")).union(classes(triples).select("uri")).distinct()
     return every.join(far, "uri", "left").select("uri", (1 + F.coalesce("distance", F.lit(0))).alias("depth"))
 
@@ -185,17 +205,17 @@ def connecting_paths(triples: DataFrame, ends: DataFrame, max_hops: int = 3, dir
     return found
 
 
-def chain(triples: DataFrame, start: DataFrame, predicate: str, backwards: bool = False, max_hops: int = 16) -> DataFrame:
-    """start(uri) -> (uri, step, node): nodes met by following ``predicate`` from it, each once."""
+def chain(triples: DataFrame, start: DataFrame, predicate: str, backwards: bool = False) -> DataFrame:
+    """start(uri) -> (uri, step, node): nodes met by following ``predicate`` from it to the end, each once at its first step."""
     edges = of(triples, predicate).select(*(("o", "s") if backwards else ("s", "o"))).toDF("x", "y")
-    here = start.select("uri", F.col("uri").alias("node"), F.array("uri").alias("seen"))
-    out = here.select("uri", F.lit(0).alias("step"), "node")
-    for k in range(1, max_hops + 1):
-        here = here.join(edges, F.col("node") == F.col("x")).filter(~F.array_contains("seen", F.col("y"))).select("uri", F.col("y").alias("node"), F.array_append("seen", F.col("y")).alias("seen"))
-        if not here.limit(1).count():
-            break
-        out = out.unionByName(here.select("uri", F.lit(k).alias("step"), "node"))
-    return out.groupBy("uri", "node").agg(F.min("step").alias("step"))
+    here = _settled(start.select("uri", F.col("uri").alias("node")).distinct())
+    out = here.withColumn("step", F.lit(0))
+    for k in count(1):
+        there = here.join(edges, F.col("node") == F.col("x")).select("uri", F.col("y").alias("node")).distinct()
+        here = _settled(there.join(out.select("uri", "node"), ["uri", "node"], "left_anti"))
+        if here.isEmpty():
+            return out.select("uri", "node", "step")
+        out = out.unionByName(here.withColumn("step", F.lit(k)))
 
 
 def expected_ends(triples: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words, as a regular-expression class body: space, tab, LF, VT, FF, CR.
@@ -16,17 +16,25 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: A side of a join is broadcast only if its row count times its row width stays under this many bytes.
 BROADCAST_BYTES = 16 << 20
+#: Places whose running total one task makes.
+RUN = 4096
 
 _local_root: str | None = None
 _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine sees: spark.checkpoint.dir, or (only where it is unset, as in tests) a local one."""
+    """The folder every machine sees: spark.checkpoint.dir, or the one given to the context by setCheckpointDir.
+
+    Where neither is set a local master, as in tests, gets a folder of its own; on a cluster this raises ValueError.
+    """
     global _local_root
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _local_root is None:
         _local_root = f"/tmp/checkpoints/strataweave-{uuid.uuid4().hex}"
     return _local_root
@@ -73,8 +81,25 @@ def smaller(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Data
 
 
 def null_safe_key(*cols: Column) -> Column:
-    """A string that tells null from every value, for grouping and joining."""
-    return F.concat_ws("|", *(F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), c.cast("string"))) for c in cols))
+    """A string that tells null from every value and each tuple of values from every other, for grouping and joining."""
+    told = lambda c: F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
+    return F.concat(*(F.when(c.isNull(), F.lit("n")).otherwise(told(c)) for c in cols))
+
+
+def running_start(sums: DataFrame, of: str, at: str, value: str, out: str) -> DataFrame:
+    """sums(of, at, value), one row per place -> also ``out``: the total of ``value`` over earlier places of the same ``of``.
+
+    Places are whole numbers. They are summed in runs of RUN first, so no task sees more than RUN rows of one ``of``, or
+    one row per run.
+    """
+    runs = sums.withColumn("_run", F.expr(f"`{at}` div {RUN}"))
+    before = Window.partitionBy(of).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = runs.groupBy(of, "_run").agg(F.sum(value).alias("_in_run"))
+    totals = totals.select(F.col(of).alias("_of"), F.col("_run").alias("_at_run"), F.coalesce(F.sum("_in_run").over(before), F.lit(0)).alias("_run_start"))
+    within = Window.partitionBy(of, "_run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    runs = runs.join(totals, F.col(of).eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_at_run")))
+    return runs.withColumn(out, F.col(out) + F.col("_run_start")).select(*sums.columns, out)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -82,20 +107,28 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
-def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def whole_rows(df: DataFrame) -> DataFrame:
+    """One struct column ``row`` of all columns: whatever their names, they cannot clash with columns added beside it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def join_group_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Left-join one fact row per key to ``rows`` without letting a hot key gather in one task.
 
-    Keys with over max(1000, total / 5000) rows number at most 5,000: they are broadcast. The rows they match leave
-    the shuffled join's key space (each gets a null key, dealt out by the row's own hash), so the largest key there
-    holds 1/5000 of the rows. ``facts`` must be materialised; its columns other than ``key`` must be new to ``rows``.
+    Keys with over max(1000, total / 5000) rows number at most 5,000: they are broadcast. The rows they match, and rows
+    with a null key, need no other fact: in the shuffled join for the rest they carry a null key beside a number of their
+    own, and are dealt out by that number. So the largest key there holds 1/5000 of the rows. ``facts`` must be
+    materialised and small enough in ``limit`` bytes to be broadcast, or it is shuffled; its columns other than ``key``
+    must be new to ``rows``.
     """
-    limit = max(1000, total // 5000)
+    hottest = max(1000, total // 5000)
     names = [c for c in facts.columns if c != key]
-    hot = facts.filter(F.col(count) > limit).select(F.col(key).alias("_hot_key"), *(F.col(c).alias(f"_hot_{c}") for c in names))
-    cold = facts.filter(F.col(count) <= limit)
+    hot = facts.filter(F.col(count) > hottest).select(F.col(key).alias("_hot_key"), *(F.col(c).alias(f"_hot_{c}") for c in names))
+    cold = facts.filter(F.col(count) <= hottest)
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     out = out.withColumn("_cold_key", F.when(F.col("_hot_key").isNull(), F.col(key)))
-    cold = cold.withColumnRenamed(key, "_cold_fact")
-    out = out.join(smaller(cold, 50 + 40 * len(names)), F.col("_cold_key") == F.col("_cold_fact"), "left")
-    kept = [c for c in rows.columns]
-    return out.select(*kept, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in names))
+    out = out.withColumn("_turn", F.when(F.col("_cold_key").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    # Not a literal: the optimiser would take that out of the keys, and the rows without a fact would gather again.
+    cold = cold.withColumnRenamed(key, "_cold_fact").withColumn("_fact_turn", F.least(F.col(count).cast("long"), F.lit(-1)))
+    out = out.join(smaller(cold, 50 + 40 * len(names), limit), (F.col("_cold_key") == F.col("_cold_fact")) & (F.col("_turn") == F.col("_fact_turn")), "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in names))

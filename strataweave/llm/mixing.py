@@ -5,7 +5,8 @@ the start up to its target. The stream is cut in blocks of ``block_words``; sour
 weights of a van der Corput schedule: slot j of 2^m has the point x(j), j's bits reversed; the cumulative block counts
 cut the points into one interval per source, and points past the last interval are empty slots. A slot's rank among
 its source's slots names the block it takes, so blocks of all sources interleave evenly and each is taken once. Ranks
-come in closed form (how many earlier slots have a point under a bound), hence no window over the slots.
+come in closed form (how many earlier slots have a point under a bound), hence no window over the slots. The slots are
+the order of the mix: every row is told the first slot it fills, and ``mix_documents`` puts its rows out in that order.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import SPACE, WORD, materialize, pick, smaller
+from strataweave.llm.common import SPACE, WORD, materialize, pick, running_start, smaller, whole_rows
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
 BLOCK_WORDS = 4096
 #: Documents whose keys share a bucket are ordered together; about so many.
-BUCKET_DOCS = 2000
+BUCKET_DOCS = 250
 
 
 def word_count(text: Column) -> Column:
@@ -82,7 +83,7 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame
     """(rows, pieces). rows: one per input row with its place in its source; pieces: what each slot takes of which row.
 
     rows: doc_id, key, source_no, at (first word in the source's stream, also the row's identity there), size,
-    source_size, target. pieces: slot, source_no, at, first (word of the row), words.
+    source_size, target. pieces: slot, source_no, at, pass (of the stream, from 0), first (word of the row), words.
     """
     base = pick(documents, "doc_id", "text", "source").select(
         F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).alias("key")
@@ -93,11 +94,10 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame
     sizes = materialize(sizes.withColumn("source_no", number), "mix-sources")
     rows = base.join(smaller(sizes.drop("weight"), 100).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
 
-    buckets = max(1, min(1 << 24, base.count() // BUCKET_DOCS))
+    buckets = max(1, min(1 << 30, base.count() // BUCKET_DOCS))
     bucket = F.expr(f"(cast(conv(substring(key, 1, 8), 16, 10) as bigint) * {buckets}) div {1 << 32}")
     rows = rows.withColumn("bucket", bucket)
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("in_bucket")).select("source_no", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("bucket_at"))
+    starts = running_start(rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("in_bucket")), "source_no", "bucket", "in_bucket", "bucket_at").drop("in_bucket")
     earlier = Window.partitionBy("source_no", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(earlier), F.lit(0))).join(starts, ["source_no", "bucket"])
     rows = rows.select("doc_id", "key", "source_no", (F.col("bucket_at") + F.col("_in")).alias("at"), "size", "source_size", "target")
@@ -107,48 +107,73 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame
     blocks = F.ceil(F.round("target") / block_words).cast("long")
     slots = slot_schedule(sizes.select("source_no", blocks.alias("n_blocks")))
     # A row's stretches of the stream, one per pass, cut at the target; each stretch cut at block ends.
-    spans = rows.filter("size > 0").select("source_no", "at", "size", end.alias("end"), F.explode(F.array(*(F.col("at") + F.col("source_size") * p for p in range(MOST_PASSES)))).alias("from"))
+    spans = rows.filter("size > 0").select("source_no", "at", "size", end.alias("end"), F.posexplode(F.array(*(F.col("at") + F.col("source_size") * p for p in range(MOST_PASSES)))).alias("pass", "from"))
     spans = spans.withColumn("to", F.least(F.col("from") + F.col("size"), F.col("end"))).filter("to > from")
     pieces = spans.withColumn("block", F.explode(F.expr(f"sequence(from div {block_words}, (to - 1) div {block_words})")))
     lo, hi = F.greatest("from", F.col("block") * block_words), F.least("to", (F.col("block") + 1) * block_words)
-    pieces = pieces.select("source_no", "at", "block", (lo - F.col("from")).alias("first"), (hi - lo).alias("words"))
-    return rows, slots.join(pieces, ["source_no", "block"]).select("slot", "source_no", "at", "first", "words")
+    pieces = pieces.select("source_no", "at", "pass", "block", (lo - F.col("from")).alias("first"), (hi - lo).alias("words"))
+    return rows, slots.join(pieces, ["source_no", "block"]).select("slot", "source_no", "at", "pass", "first", "words")
 
 
 def mix_totals(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, key.
+    """One row per input row: doc_id, size, source_size, target, taken, first_slot.
 
-    Null text has size 0 and nothing is taken of it; a null source is a source, the last. Repeated rows each have their
-    own place. With no words at all every target is 0. An empty table gives an empty result. Columns besides doc_id,
-    text and source are not read.
+    ``first_slot`` is the first slot of the schedule that takes words of the row; null where none does. Null text has size
+    0 and nothing is taken of it; a null source is a source, the last. Repeated rows each have their own place. With no
+    words at all every target is 0. An empty table gives an empty result. Columns besides doc_id, text and source are not
+    read.
     """
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return _taken(documents, block_words).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("passes", F.lit(0))["slot"].alias("first_slot"))
+
+
+def _taken(documents: DataFrame, block_words: int) -> DataFrame:
+    """Rows of ``mix`` with ``passes``: (slot, words) of each pass that takes words of the row, the first slot of it."""
     rows, pieces = mix(documents, block_words)
-    taken = pieces.groupBy("source_no", "at").agg(F.sum("words").alias("taken")).withColumn("_some", F.lit(True))
-    out = rows.withColumn("_some", F.col("size") > 0).join(taken, ["source_no", "at", "_some"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key")
+    each = pieces.groupBy("source_no", "at", "pass").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    each = each.groupBy("source_no", "at").agg(F.sort_array(F.collect_list(F.struct("slot", "words"))).alias("passes")).withColumn("_some", F.lit(True))
+    out = rows.withColumn("_some", F.col("size") > 0).join(each, ["source_no", "at", "_some"], "left").drop("_some")
+    return out.withColumn("passes", F.coalesce("passes", F.array().cast("array<struct<slot:bigint,words:bigint>>")))
 
 
 def mix_documents(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix as documents: each row as often as its words are taken in full, the last time cut to the words taken.
+    """The mix as documents in the order of the schedule's slots.
 
-    At most one row per source is cut. Rows of which nothing is taken go. Columns as in the input; n_chars follows the text.
-    Rows equal in doc_id, text and source share their copies in order of place.
+    Each row comes once for every pass that takes words of it, where that pass is in the schedule, cut to the words taken;
+    at most one row per source is cut. Rows of which nothing is taken go: those without a word, and what lies past the
+    target. Columns as in the input, whatever their names; n_chars follows the text where there is such a column. Of rows
+    equal in doc_id, text and source each is taken on its own, in the order of their places. An empty table gives an empty
+    one.
     """
-    taken = mix_totals(documents, block_words).filter("taken > 0")
-    same = Window.partitionBy("key").orderBy(F.col("taken").desc())
-    taken = materialize(taken.select("key", "size", "taken", F.row_number().over(same).alias("nth")), "mix-taken")
-    key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
-    rows = documents.withColumn("_key", key)
-    if taken.filter("nth > 1").limit(1).count():
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("source")))
-    else:
-        rows = rows.withColumn("_nth", F.lit(1))
-    taken = smaller(taken, 80).select(F.col("key").alias("_key"), F.col("nth").alias("_nth"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = rows.join(taken, ["_key", "_nth"]).withColumn("_full", F.expr("_taken div _size")).withColumn("_part", F.expr("_taken % _size"))
-    rows = rows.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, cast(_full as int)), if(_part > 0, array(_part), array()))")))
+    totals = materialize(_taken(documents, block_words).select("key", "source_no", "size", "passes"), "mix-totals")
+    repeated = smaller(materialize(totals.groupBy("key", "source_no").agg(F.count("*").alias("n")).filter("n > 1").select("key", "source_no"), "mix-repeated"), 60)
+    sources = materialize(pick(documents, "source").distinct(), "mix-names")
+    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
+    sources = materialize(sources.select(F.col("source").alias("_s"), number.alias("source_no")), "mix-numbers")
+    key = F.md5(F.concat_ws("|", F.col("row.doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit("")))))
+    rows = whole_rows(documents).withColumn("key", key).join(smaller(sources, 100), F.col("row.source").eqNullSafe(F.col("_s"))).drop("_s")
+    # Rows that have no equal meet their totals by key. Of the others, both sides number equal ones and meet by number.
+    alone = totals.filter("size(passes) > 0").join(repeated, ["key", "source_no"], "left_anti")
+    lone = rows.join(smaller(alone, 140), ["key", "source_no"])
+    with_id = lambda d, tag: _numbered(materialize(d.join(repeated, ["key", "source_no"], "left_semi").withColumn("id", F.monotonically_increasing_id()), tag))
+    many = with_id(rows, "mix-equals").join(with_id(totals, "mix-places"), ["key", "source_no", "nth"])
+    out = lone.select("row", "size", "passes").unionByName(many.select("row", "size", "passes"))
+    out = out.withColumn("taken", F.explode("passes")).select("row", "size", "taken.slot", "taken.words")
     # A text split where each word ends: the first n parts hold its first n words and what stands between them.
-    parts = F.split("text", rf"(?<=[^{SPACE}])(?=[{SPACE}])")
-    cut = F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*documents.columns)
+    parts = F.split("row.text", rf"(?<=[^{SPACE}])(?=[{SPACE}])")
+    cut = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
+    out = out.repartitionByRange("slot").sortWithinPartitions("slot")
+    out = out.withColumn("mixed", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("row.text")))
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast(documents.schema["n_chars"].dataType) if "n_chars" in documents.columns else None}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in documents.columns))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Materialised rows with a unique ``id`` -> ``nth``: 1, 2, .. over rows of one key and source. An id's high bits name
+    the partition it was made in, so no task numbers more rows of a key than one partition holds."""
+    rows = rows.withColumn("part", F.shiftright("id", 33))
+    counts = rows.groupBy("key", "source_no", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key", "source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("key", "source_no", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("key", "source_no", "part").orderBy("id"))
+    return rows.withColumn("nth", within).join(counts, ["key", "source_no", "part"]).withColumn("nth", F.col("nth") + F.col("earlier")).drop("id", "part", "earlier")

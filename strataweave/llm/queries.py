@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_totals(_table(spark, sf_dir, "documents")).drop("key")
+    return mixing.mix_totals(_table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +68,26 @@ levels as (
              - coalesce(sum(source_size * 2.0::double) over (order by source_size * 2.0::double / weight, source is null, encode(source) rows between unbounded preceding and 1 preceding), 0))
             / sum(weight) over (order by source_size * 2.0::double / weight, source is null, encode(source) rows between current row and unbounded following) as own
   from sources),
-targets as (select source, source_size, least(source_size * 2.0::double, weight * max(own) over ()) as target from levels),
+targets as (
+  select source, source_size, least(source_size * 2.0::double, weight * max(own) over ()) as target, row_number() over (order by source is null, encode(source)) as source_no from levels),
+cuts as (
+  select source_no, cast(ceil(round(target) / 4096) as bigint) as n_blocks, cast(coalesce(sum(ceil(round(target) / 4096)) over (order by source_no rows between unbounded preceding and 1 preceding), 0) as bigint) as lo
+  from targets),
+size_of as (select cast(sum(n_blocks) as bigint) as total, greatest(1, cast(ceil(log2(greatest(sum(n_blocks), 1))) as int)) as bits from cuts),
+points as (
+  select s.slot, cast(list_sum(list_transform(range(0, bits), lambda b: ((s.slot >> b) & 1) << (bits - 1 - b))) as bigint) as point
+  from size_of, lateral (select unnest(range(0, cast(1 << bits as bigint))) as slot) s),
+schedule as (
+  select p.slot, c.source_no, row_number() over (partition by c.source_no order by p.slot) - 1 as block
+  from points p join cuts c on p.point >= c.lo and p.point < c.lo + c.n_blocks),
 placed as (
-  select b.doc_id, b.size, t.source_size, t.target, cast(round(t.target) as bigint) as stop,
+  select b.doc_id, b.size, t.source_size, t.target, t.source_no, cast(round(t.target) as bigint) as stop,
          coalesce(sum(b.size) over (partition by b.source order by b.key, b.size rows between unbounded preceding and 1 preceding), 0) as place
   from base b join targets t on b.source is not distinct from t.source)
 select doc_id, cast(size as bigint) as size, source_size, target,
-       cast(case when size = 0 then 0 else size * (stop // source_size) + greatest(0, least(size, stop % source_size - place)) end as bigint) as taken
-from placed
+       cast(case when size = 0 then 0 else size * (stop // source_size) + greatest(0, least(size, stop % source_size - place)) end as bigint) as taken,
+       case when size > 0 and place < stop then slot end as first_slot
+from placed left join schedule s on s.source_no = placed.source_no and s.block = place // 4096
 """
 
 OP5_SQL = r"""

@@ -4,6 +4,9 @@ The base kinds are found by fixed expressions on the text as it stands. Then a c
 text - look-alike letters and digits, spelled digits, bracketed or spaced-out "at" and "dot" - and keeps, for every
 character it puts out, the source span it stands for. Identifiers found in the rewritten text are mapped back through
 those spans; one that overlaps no base span is added.
+
+Every scan is linear in the text: expressions start at the first character of a run, or are read backwards from the one
+character they must hold, so a megabyte of digits, letters or blanks costs no more than prose.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,11 +23,13 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.common import bounded_batches, pick
 
-# The base expressions and the order of kinds.
+# The order of kinds, and the base expressions in a form that starts once in a run of digits. An email is
+# its part before the "@", read backwards from there, and _DOMAIN after it.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Spelled digits in English, German, French and Spanish, and Cyrillic and Greek look-alikes of Latin letters.
 SPELLED = {
@@ -49,13 +55,35 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _before(text: str, at: int, least: int) -> int:
+    """Where the run of _LOCAL characters that ends at ``at`` begins, ``least`` at the earliest."""
+    while at > least and text[at - 1] in _LOCAL:
+        at -= 1
+    return at
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = _before(text, at, end)
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            end = m.end()
+        at = text.find("@", max(end, at + 1))
+
+
+def _byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def find_base(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end): leftmost non-overlapping matches per kind; a match that fails its test is dropped."""
     found = []
     if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [(0, *span) for span in _emails(text)]
     if _DIGIT(text):
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m[0].split(".")))]
         found += [(2, m.start(), m.end()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d)]
         if "+" in text:
             found += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -66,28 +94,29 @@ _DIGIT = re.compile("[0-9]").search
 
 
 class Tape:
-    """A string whose i-th character stands for source[spans[i][0]:spans[i][1]]."""
+    """A string whose i-th character stands for source[start[i]:end[i]]."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None):
+    def __init__(self, text: str, start: array | None = None, end: array | None = None):
         self.text = text
-        self.spans = [(i, i + 1) for i in range(len(text))] if spans is None else spans
+        self.start = array("q", range(len(text))) if start is None else start
+        self.end = array("q", range(1, len(text) + 1)) if end is None else end
 
-    def rewrite(self, pattern: re.Pattern, put) -> Tape:
+    def rewrite(self, matches: Iterator[re.Match], put) -> Tape:
         """Replace matches: ``put(match)`` gives the new text, or None to leave the match as it is. What replaces a match
         stands for the match's whole source span."""
-        out, spans, at = [], [], 0
-        for m in pattern.finditer(self.text):
+        out, starts, ends, at = [], array("q"), array("q"), 0
+        for m in matches:
             new = put(m)
             if new is None or new == m[0]:
                 continue
             out.append(self.text[at : m.start()] + new)
-            spans += self.spans[at : m.start()]
-            spans += [(self.spans[m.start()][0], self.spans[m.end() - 1][1])] * len(new)
+            starts += self.start[at : m.start()] + array("q", [self.start[m.start()]]) * len(new)
+            ends += self.end[at : m.start()] + array("q", [self.end[m.end() - 1]]) * len(new)
             at = m.end()
-        return self if not out else Tape("".join(out) + self.text[at:], spans + self.spans[at:])
+        return self if not out else Tape("".join(out) + self.text[at:], starts + self.start[at:], ends + self.end[at:])
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.spans[start][0], self.spans[end - 1][1]
+        return self.start[start], self.end[end - 1]
 
 
 def _alike(m: re.Match) -> str | None:
@@ -101,12 +130,15 @@ _name = "|".join(sorted(SPELLED, key=lambda w: (-len(w), w)))
 _PARTS = re.compile(rf"\b(?:{_name})\b", re.I)
 _RUN = re.compile(rf"\b(?:{_name})(?:[\s,.-]+(?:{_name}))+\b", re.I)
 _ODD = re.compile("[" + "".join(ALIKE) + "！-～\U0001d400-\U0001d7ff①-⒛⁰-₉]")
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.I)
+# A disguise takes the blanks around it; those before it from their first on, or none if they went with another disguise.
+_OPEN, _SHUT = r"(?:(?<!\s)\s*+|(?<=\s))[\[({<]\s*", r"\s*[\])}>]\s*"
+_AT = re.compile(rf"{_OPEN}(?:at|@|arroba){_SHUT}", re.I)
+_DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|point|punto){_SHUT}", re.I)
 # Last labels that make "a at b dot c" without brackets an address and not prose.
 _LAST = "com|org|net|edu|gov|info|io|eu|de|fr|es|uk|ch|at|it|nl"
-_SPACED = re.compile(rf"\b([A-Za-z0-9._%+-]+) +at +([A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)* +dot +(?:{_LAST}))\b", re.I)
-_BARE = re.compile(r" +(at|dot) +", re.I)
+_SPACED = re.compile(rf"(?<! ) ++at ++[A-Za-z0-9-]+(?: +dot +[A-Za-z0-9-]+)* +dot +(?:{_LAST})\b", re.I)
+_BARE = re.compile(r"(?<! ) ++(at|dot) ++", re.I)
+_EDGE = re.compile(r"\b")
 _WORDS = frozenset(SPELLED)
 
 
@@ -136,15 +168,24 @@ def _spelled(m: re.Match) -> str | None:
     return "".join(SPELLED[_lower(w)] for w in words) if len(words) >= LEAST_SPELLED else None
 
 
+def _spaced(text: str) -> Iterator[re.Match]:
+    """The bare "at" and "dot" of every address spelled with blanks."""
+    end = 0
+    for m in _SPACED.finditer(text):
+        edge = _EDGE.search(text, _before(text, m.start(), end), m.start())
+        if edge and edge.start() < m.start():
+            end = m.end()
+            yield from _BARE.finditer(text, m.start(), end)
+
+
 def deobfuscate(text: str) -> Tape:
     """The transducers in order; a text without any disguise comes back as it is."""
-    tape = Tape(text).rewrite(_ODD, _alike)
-    tape = tape.rewrite(_AT, lambda m: "@").rewrite(_DOT, lambda m: ".")
-    spots = [(m.start(), m.end()) for m in _SPACED.finditer(tape.text)]
-    if spots:
-        inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in spots)
-        tape = tape.rewrite(_BARE, lambda m: ("@" if m[1].lower() == "at" else ".") if inside(m) else None)
-    return tape.rewrite(_RUN, _spelled)
+    tape = Tape(text)
+    tape = tape.rewrite(_ODD.finditer(tape.text), _alike)
+    tape = tape.rewrite(_AT.finditer(tape.text), lambda m: "@")
+    tape = tape.rewrite(_DOT.finditer(tape.text), lambda m: ".")
+    tape = tape.rewrite(_spaced(tape.text), lambda m: "@" if m[1].lower() == "at" else ".")
+    return tape.rewrite(_RUN.finditer(tape.text), _spelled)
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -154,11 +195,15 @@ def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
     if _may_hide(text):
         tape = deobfuscate(text)
         if tape.text != text:
+            taken = bytearray(len(text))
+            for _, a, b in base:
+                taken[a:b] = b"\1" * (b - a)
             for kind, start, end in find_base(tape.text):
                 a, b = tape.source(start, end)
                 # Only disguises are new: what reads the same in the source was the base rules' to judge.
-                if text[a:b] != tape.text[start:end] and not any(a < y and x < b for _, x, y in spans):
+                if text[a:b] != tape.text[start:end] and taken.find(1, a, b) < 0:
                     spans.append((kind, a, b))
+                    taken[a:b] = b"\1" * (b - a)
     return sorted(base), sorted(spans)
 
 

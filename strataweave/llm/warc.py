@@ -3,10 +3,13 @@
 ``parse_arc`` reads an ARC file: its version block names the version, the version fixes the fields of each header line,
 the last field declares the record's length, and the reader goes by that length alone. ``to_warc`` makes WARC records
 of them: identifiers derived from what a record is (so a rerun makes the same ones), ISO timestamps, types, SHA-1 digests
-of block and payload, and revisit records for payloads that another record carries.
+of block and payload, and revisit records for payloads that another record carries. A record's block goes over byte for
+byte: an HTTP message stays the response it was, with its own status and headers, and any other block (dns, ftp) is a
+resource of the declared type. The IP address is kept, and a version block becomes a warcinfo record.
 
-WARC files are written by Spark's text writer, whose line separator is the blank line pair that ends a record; they are
-gzip members as any WARC reader expects, and no task writes to a path of its own.
+WARC files are written by Spark's text writer, whose line separator is the blank line pair that ends a record, so no task
+writes to a path of its own. It writes bytes as they are. A file is one gzip member with records of about FILE_BYTES; the
+writer cannot begin a member for each record, so readers go through a file from its start.
 """
 
 from __future__ import annotations
@@ -28,10 +31,8 @@ ARC_FIELDS = {
     "2": ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length"),
 }
 _NAMES = {"1": "URL IP-address Archive-date Content-type Archive-length", "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
-#: Payload bytes an archive file holds before the next begins.
+#: Bytes of records an archive file holds before the next begins; a reader takes a file at a time.
 FILE_BYTES = 8 << 20
-#: Records a WARC file holds at most; a reader takes a file at a time.
-FILE_RECORDS = 4000
 ARCHIVE_DATE = "20240101000000"
 
 
@@ -54,7 +55,7 @@ def write_arc(records: list[tuple[str, str, bytes]], version: str, name: str = "
 
 
 def parse_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an ARC file, its version block left out.
+    """(header fields, block) of each record of an ARC file, its version block first (with the version as a field).
 
     Raises ValueError on a first line that is no version block, a header line with too few fields, a length that is no
     number, or a file that ends inside a block.
@@ -79,6 +80,7 @@ def parse_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             version = block[:1].decode("ascii", "replace")
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {version!r}")
+            yield {"url": parts[0], "ip": parts[1] if len(parts) > 1 else "", "date": parts[2] if len(parts) > 2 else "", "mime": "text/plain", "version": version}, block
             continue
         names = ARC_FIELDS[version]
         if len(parts) < len(names):
@@ -93,11 +95,17 @@ def http_block(payload: bytes, page_id: int | None, mime: str = "text/html; char
     return b"HTTP/1.1 200 OK\r\nContent-Type: %s\r\n%sContent-Length: %d\r\n\r\n%s" % (mime.encode(), page, len(payload), payload)
 
 
-def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
-    """(header fields in lower case, payload)."""
-    head, _, payload = block.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
+def split_http(block: bytes) -> tuple[dict[str, str], int]:
+    """(header fields in lower case, bytes of the head): lines end in CR LF or LF, the first empty one ends the head.
+
+    A block that is no HTTP message has neither; one without an empty line is all head.
+    """
+    if block[:5] != b"HTTP/":
+        return {}, 0
+    ends = [(at, at + len(mark)) for mark in (b"\r\n\r\n", b"\n\n", b"\n\r\n") if (at := block.find(mark)) >= 0]
+    head, after = min(ends, default=(len(block), len(block)))
+    lines = block[:head].decode("utf-8", "replace").splitlines()[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, after
 
 
 def record_id(url: str, date: str, digest: str, page_id: int | None) -> str:
@@ -109,12 +117,11 @@ def iso_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(kind: str, url: str, date: str, block: bytes, payload_digest: str, own_id: str, refers_to: str | None) -> bytes:
+def warc_record(kind: str, url: str, date: str, block: bytes, own_id: str, mime: str, more: list[tuple[str, str]]) -> bytes:
     """One record without the blank lines that end it."""
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", iso_date(date)), ("WARC-Target-URI", url), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("WARC-Payload-Digest", f"sha1:{payload_digest}")]
-    if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers_to)]
-    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", iso_date(date))]
+    fields += [("WARC-Target-URI", url)] if kind != "warcinfo" else []
+    fields += [("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), *more, ("Content-Type", mime), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block
 
 
@@ -156,30 +163,49 @@ def _one(content: bytes) -> pa.RecordBatch:
 
 
 def pages_to_arc(pages: DataFrame) -> DataFrame:
-    """ARC files (content binary) of about FILE_BYTES, versions 1 and 2 in turn; null url "-", null html an empty payload."""
+    """ARC files (content binary) of about FILE_BYTES, versions 1 and 2 in turn: one record per row, repeated rows too.
+
+    Null url "-", null html an empty payload, null page_id no X-Page-Id. An empty table gives no file. Columns besides
+    page_id, url and html are not read.
+    """
     bounded_batches(pages.sparkSession)
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", "html")
     return rows.mapInArrow(_to_arc, "content binary")
 
 
-_CONVERTED = "page_id long, url string, date string, mime string, payload binary, payload_digest string, same binary"
+_CONVERTED = "kind string, page_id long, url string, ip string, date string, mime string, block binary, head int, payload_digest string, same binary"
+
+
+def _kinds(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    return list(names), [types[k] for k in kinds]
+
+
+def _batches(rows: Iterator[tuple], schema: str, most: int = 200) -> Iterator[pa.RecordBatch]:
+    names, kinds = _kinds(schema)
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
 def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in _CONVERTED.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.binary()]
-    for b in batches:
-        for content in b.column("content"):
-            rows = []
-            for fields, block in parse_arc(content.as_py()):
-                http, payload = split_http(block)
-                page = int(http["x-page-id"]) if "x-page-id" in http else None
-                rows.append((page, fields["url"], fields["date"], fields["mime"], payload, sha1_base32(payload), hashlib.sha256(payload).digest()))
-                if len(rows) == 200:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for content in b.column("content"):
+                for i, (fields, block) in enumerate(parse_arc(content.as_py())):
+                    http, head = split_http(block)
+                    payload = block[head:]
+                    kind = "warcinfo" if i == 0 else "response" if http or head else "resource"
+                    page = http.get("x-page-id", "")
+                    yield kind, int(page) if page.removeprefix("-").isdigit() else None, fields["url"], fields["ip"], fields["date"], fields["mime"], block, head, sha1_base32(payload), hashlib.sha256(payload).digest()
+
+    yield from _batches(rows(), _CONVERTED)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -187,36 +213,56 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
+_WRITTEN = "value binary, part int"
+
+
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for r in b.to_pylist():
-            own = record_id(r["url"], r["date"], r["payload_digest"], r["page_id"])
-            block, refers = http_block(r["payload"], r["page_id"]), None
-            if r["revisit"]:
-                block = block[: len(block) - len(r["payload"])]
-                refers = record_id(r["to_url"], r["to_date"], r["payload_digest"], r["to_page"])
-            out.append(warc_record("revisit" if r["revisit"] else "response", r["url"], r["date"], block, r["payload_digest"], own, refers))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+    def rows() -> Iterator[tuple]:
+        size = 0
+        for b in batches:
+            for r in b.to_pylist():
+                own, block, kind, mime = record_id(r["url"], r["date"], r["payload_digest"], r["page_id"]), r["block"], r["kind"], "application/http; msgtype=response"
+                more = [("WARC-Payload-Digest", f"sha1:{r['payload_digest']}")]
+                if r["ip"] and r["ip"] not in ("0.0.0.0", "-"):
+                    more.append(("WARC-IP-Address", r["ip"]))
+                if kind == "warcinfo":
+                    more, mime = [("WARC-Filename", r["url"].removeprefix("filedesc://"))], "application/warc-fields"
+                    block = b"software: ARC converter\r\nformat: WARC file version 1.1\r\nsource-format: ARC file version %s\r\n" % block[:1]
+                elif kind == "resource":
+                    mime = r["mime"]
+                if r["revisit"]:
+                    more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["to_url"], r["to_date"], r["payload_digest"], r["to_page"]))]
+                    # Not a field of the standard: what the head's own Content-Length may not say.
+                    more.append(("X-Payload-Length", str(len(block) - r["head"])))
+                    kind, block = "revisit", block[: r["head"]]
+                record = warc_record(kind, r["url"], r["date"], block, own, mime, more)
+                yield record, size // FILE_BYTES
+                size += len(record)
+
+    yield from _batches(rows(), _WRITTEN, 50)
 
 
 def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """ARC files (binary ``content``) to gzip WARC files under ``path``.
+    """ARC files (binary ``content``) to gzip WARC files under ``path``, in folders of one file per task.
 
-    Of records with equal payloads of at least ``least_bytes``, the one with the largest page id (null last) is the
-    response and the others revisit it; smaller payloads are all responses. Payloads must be UTF-8 (the writer is a text
-    writer). A payload's copies are settled on narrow rows; a group of copies, however large, meets in no task.
+    Of records with equal payloads of at least ``least_bytes``, the one with the largest page id (null last, then url and
+    date) is written whole and the others revisit it; smaller payloads are all written whole. Records equal in page id, url
+    and date as well are one capture written twice, all of them whole. A payload's copies are settled on narrow rows; a
+    group of copies, however large, meets in no task. An archive that cannot be parsed raises ValueError.
     """
-    rows = archives.mapInArrow(_from_arc, _CONVERTED)
-    narrow = materialize(rows.select("same", F.octet_length("payload").alias("n"), "page_id", "url", "date"), "warc-narrow")
+    rows = materialize(archives.mapInArrow(_from_arc, _CONVERTED), "warc-rows")
+    size = F.octet_length("block") - F.col("head")
+    narrow = rows.filter("kind <> 'warcinfo'").filter(size >= least_bytes).select("same", "page_id", "url", "date")
     order = F.struct(F.coalesce("page_id", F.lit(-(2**63))), "url", "date")
-    heads = narrow.filter(F.col("n") >= least_bytes).groupBy("same").agg(F.count("*").alias("copies"), F.max_by(F.struct("page_id", "url", "date"), order).alias("to"))
+    heads = narrow.groupBy("same").agg(F.count("*").alias("copies"), F.max_by(F.struct("page_id", "url", "date"), order).alias("to"))
     heads = materialize(heads.filter("copies > 1").select("same", "copies", F.col("to.page_id").alias("to_page"), F.col("to.url").alias("to_url"), F.col("to.date").alias("to_date")), "warc-heads")
-    met = join_group_facts(rows, heads, "same", "copies", narrow.count())
+    # A payload under ``least_bytes`` or a version block has no key, hence no other copy.
+    rows = rows.withColumn("same", F.when((F.col("kind") != "warcinfo") & (size >= least_bytes), F.col("same")))
+    met = join_group_facts(rows, heads, "same", "copies", rows.count())
     is_head = F.col("page_id").eqNullSafe(F.col("to_page")) & (F.col("url") == F.col("to_url")) & (F.col("date") == F.col("to_date"))
     met = met.withColumn("revisit", F.col("copies").isNotNull() & ~F.coalesce(is_head, F.lit(False)))
-    records = met.select("page_id", "url", "date", "payload", "payload_digest", "revisit", "to_page", "to_url", "to_date").mapInArrow(_to_warc, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = met.drop("same", "copies").mapInArrow(_to_warc, _WRITTEN).select(F.col("value").cast("string").alias("value"), "part")
+    records.write.partitionBy("part").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, own string, refers string"
@@ -225,28 +271,33 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import gzip
 
-    names = [f.split()[0] for f in _READ.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-    for b in batches:
-        for content in b.column("content"):
-            rows, raw = [], content.as_py()
-            for fields, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                http, payload = split_http(block)
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                kind = fields["warc-type"]
-                if kind == "response" and (sha1_base32(payload) != digest or str(len(payload)) != http["content-length"]):
-                    raise ValueError(f"payload of {fields['warc-record-id']} does not match its record")
-                page = int(http["x-page-id"]) if "x-page-id" in http else None
-                rows.append((page, int(http["content-length"]), digest, kind, fields["warc-record-id"], fields.get("warc-refers-to")))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for content in b.column("content"):
+                raw = content.as_py()
+                for fields, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                    kind = fields["warc-type"]
+                    if kind == "warcinfo":
+                        continue
+                    http, head = split_http(block)
+                    digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), len(block) - head
+                    if kind == "revisit":
+                        size = int(fields["x-payload-length"])
+                    elif sha1_base32(block[head:]) != digest:
+                        raise ValueError(f"payload of {fields['warc-record-id']} does not match its record")
+                    page = http.get("x-page-id", "")
+                    yield int(page) if page.removeprefix("-").isdigit() else None, size, digest, kind, fields["warc-record-id"], fields.get("warc-refers-to")
+
+    yield from _batches(rows(), _READ, 2000)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; digests of responses are checked."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record but warcinfo; digests of payloads that are there are checked."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     rows = materialize(files.mapInArrow(_from_warc, _READ), "warc-read")
     revisited = rows.filter("refers is not null").groupBy("refers").agg(F.count("*").alias("copies"))
-    heads = rows.filter("refers is null").select("own", F.col("page_id").alias("refers_to"))
+    # Records written twice share an identifier and a page: one of them stands for it.
+    heads = rows.filter("refers is null").groupBy("own").agg(F.first("page_id", ignorenulls=True).alias("refers_to"))
     heads = materialize(revisited.join(heads, F.col("refers") == F.col("own")).select("refers", "copies", "refers_to"), "warc-targets")
     out = join_group_facts(rows, heads, "refers", "copies", rows.count())
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

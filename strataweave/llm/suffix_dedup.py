@@ -8,8 +8,9 @@ by their words over the cluster (a range sort, so one frequent passage spreads o
 with its neighbours in the order, the match is extended to the left, and matches of ``MIN_WORDS`` words or more mark
 their words. Marks of one text that touch are joined.
 
-Words are compared by 16-bit hashes (the k-mer by all 64 bits) of a bounded context on either side. A longer passage has minimisers all along it,
-so its marks overlap and join to the whole.
+Words are compared by 32-bit hashes (the k-mer by all 64 bits) of a bounded context on either side: as many words as a
+match needs to the right, a minimiser window to the left. A longer passage has minimisers all along it, so its marks
+overlap and join to the whole.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from strataweave.llm.words import Words, window_hashes
 MIN_WORDS = 50
 #: k-mer length and minimiser window; K + WINDOW - 1 must not exceed MIN_WORDS.
 K, WINDOW = 12, 38
-#: Words of context kept to the right of a suffix's start (its own k-mer included) and to the left of it.
-RIGHT, LEFT = 50, 38
+#: Words of context kept to the left of a suffix's start; to the right (its own k-mer included) as many as a match needs.
+#: A match's first minimiser lies within its first WINDOW words.
+LEFT = WINDOW
 #: Bits of the Bloom filter of frequent k-mers (8 MB whatever the input). Where it fills up, more suffixes are sorted
 #: that have no equal; the result is the same.
 FILTER_BITS = 1 << 26
@@ -89,19 +91,19 @@ def frequent_filter(kmers: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-_SUFFIX = "kmer long, suffix binary, prefix binary, doc_id long, place int"
+_SUFFIX = "kmer long, suffix binary, prefix binary, doc_id long, text_key long, place int"
 
 
-def _contexts(shared):
+def _contexts(shared, right: int):
     """The kept suffixes of each text: words to the right, and words to the left in reverse order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _SUFFIX.split(", ")]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
         bits = shared.value
         held = lambda slot: (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
+            ids = list(zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), strict=True))
             for at in range(0, len(b), 100):
                 part, rows = Words(b.column("text").slice(at, 100)), []
                 for i in range(len(part)):
@@ -110,9 +112,9 @@ def _contexts(shared):
                     found = minimisers(kmers)
                     one, two = _filter_slots(kmers[found])
                     found = found[held(one) & held(two)]
-                    short = (own >> np.uint64(48)).astype(">u2")
+                    short = (own >> np.uint64(32)).astype(">u4")
                     for p, k in zip(found.tolist(), kmers[found].astype(np.int64).tolist(), strict=True):
-                        rows.append((k, short[p : p + RIGHT].tobytes(), short[max(0, p - LEFT) : p][::-1].tobytes(), ids[at + i], p))
+                        rows.append((k, short[p : p + right].tobytes(), short[max(0, p - LEFT) : p][::-1].tobytes(), *ids[at + i], p))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -121,8 +123,8 @@ def _contexts(shared):
 
 def _common(a: bytes, b: bytes) -> int:
     """Leading words two contexts share."""
-    n = min(len(a), len(b)) // 2
-    differ = np.flatnonzero(np.frombuffer(a, "<u2", n) != np.frombuffer(b, "<u2", n))
+    n = min(len(a), len(b)) // 4
+    differ = np.flatnonzero(np.frombuffer(a, "<u4", n) != np.frombuffer(b, "<u4", n))
     return int(differ[0]) if len(differ) else n
 
 
@@ -135,42 +137,48 @@ def _match(x: tuple, y: tuple, least: int) -> tuple[int, int] | None:
     return (left, right) if left + right >= least else None
 
 
-_MARK = "doc_id long, first int, last int, match_doc_id long, part int, edge string, kmer long, suffix binary, prefix binary, place int"
+_MARKED = "doc_id long, text_key long, first int, last int, match_doc_id long"
+_MET = f"{_MARKED}, part int, edge string, " + ", ".join(f"e_{f}" for f in _SUFFIX.split(", "))
+_NAMES = tuple(f.split()[0] for f in _SUFFIX.split(", "))
+
+
+def _arrays(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def _neighbours(least: int):
     """Over one sorted partition: a mark for each suffix that matches a neighbour, and its first and last suffix as edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in _MARK.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        edge = lambda x, part, name: (*[None] * 5, part, name, *x)
         last, part = None, 0
         for b in batches:
             rows = []
-            for x in zip(*(b.column(c).to_pylist() for c in ("kmer", "suffix", "prefix", "doc_id", "place", "part")), strict=True):
-                part = x[5]
-                if last is not None and x[:5] == last[:5]:
+            for *x, part in zip(*(b.column(c).to_pylist() for c in (*_NAMES, "part")), strict=True):
+                if x == last:
                     continue  # a repeated row
                 if last is None:
-                    rows.append((x[3], None, None, None, part, "first", *x[:3], x[4]))
+                    rows.append(edge(x, part, "first"))
                 else:
-                    rows += _marks(last, x, least, part)
+                    rows += [(*m, part, None, *[None] * 6) for m in _marks(last, x, least)]
                 last = x
             if rows:
-                yield make(rows)
+                yield _arrays(rows, _MET)
         if last is not None:
-            yield make([(last[3], None, None, None, part, "last", *last[:3], last[4])])
+            yield _arrays([edge(last, part, "last")], _MET)
 
     return run
 
 
-def _marks(x: tuple, y: tuple, least: int, part: int) -> list[tuple]:
+def _marks(x: list, y: list, least: int) -> list[tuple]:
     met = _match(x, y, least)
     if met is None:
         return []
     left, right = met
-    return [(a[3], a[4] - left, a[4] + right, b[3], part, None, None, None, None, None) for a, b in ((x, y), (y, x))]
+    return [(a[3], a[4], a[5] - left, a[5] + right, b[3]) for a, b in ((x, y), (y, x))]
 
 
 def _across(least: int):
@@ -180,11 +188,9 @@ def _across(least: int):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                x = (r["kmer"], r["suffix"], r["prefix"], r["doc_id"], r["place"])
-                y = (r["kmer2"], r["suffix2"], r["prefix2"], r["doc_id2"], r["place2"])
-                rows += [m[:4] for m in _marks(x, y, least, 0)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["doc_id", "first", "last", "match_doc_id"])
+                x, y = ([r[f"{side}_{c}"] for c in _NAMES] for side in "ef")
+                rows += _marks(x, y, least) if x != y else []
+            yield _arrays(rows, _MARKED)
 
     return run
 
@@ -193,35 +199,35 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     """One row per repeated passage of a text: doc_id, first_word, n_words, match_doc_id (a text that shares part of it).
 
     Words ``first_word`` to ``first_word + n_words`` (counted from 0) lie in matches of ``min_words`` or more with another
-    text or with another place of the same text (a phrase said over and over matches itself). Null and empty texts, texts under ``min_words`` and rows
-    with a null doc_id have none. Rows of one doc_id with different texts give passages of that doc_id for each text.
-    Repeated rows (same doc_id and text) are one text. An empty table gives an empty result. Columns besides doc_id and
-    text are not read.
+    text or with another place of the same text (a phrase said over and over matches itself). Null and empty texts, texts
+    under ``min_words`` and rows with a null doc_id have none. Rows of one doc_id with different texts give passages of
+    that doc_id for each text. Repeated rows (same doc_id and text) are one text. An empty table gives an empty result.
+    Columns besides doc_id and text are not read. ``min_words`` must be K + WINDOW - 1 or more.
     """
     if min_words < K + WINDOW - 1:
         raise ValueError(f"min_words must be {K + WINDOW - 1} or more")
     bounded_batches(documents.sparkSession)
-    texts = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    texts = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).filter("doc_id is not null")
     bits = frequent_filter(texts.select("text").mapInArrow(_select, "kmer long"))
     shared = documents.sparkSession.sparkContext.broadcast(bits)
-    suffixes = texts.mapInArrow(_contexts(shared), _SUFFIX)
-    names = ("kmer", "suffix", "prefix", "doc_id", "place")
-    ordered = suffixes.repartitionByRange(*names).sortWithinPartitions(*names)
-    met = materialize(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_neighbours(min_words), _MARK), "suffix-met")
-    marks = met.filter("edge is null").select("doc_id", "first", "last", "match_doc_id")
+    suffixes = texts.mapInArrow(_contexts(shared, min_words), _SUFFIX)
+    ordered = suffixes.repartitionByRange(*_NAMES).sortWithinPartitions(*_NAMES)
+    met = materialize(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_neighbours(min_words), _MET), "suffix-met")
+    marks = met.filter("edge is null").select("doc_id", "text_key", "first", "last", "match_doc_id")
     # Partitions in order; two edge rows each.
     edges = met.filter("edge is not null")
     following = Window.orderBy("part", F.col("edge") == "last")
-    pairs = edges.select(*names, "edge", *(F.lead(c).over(following).alias(f"{c}2") for c in names), F.lead("edge").over(following).alias("edge2")).filter("edge = 'last' and edge2 = 'first'")
-    across = pairs.mapInArrow(_across(min_words), "doc_id long, first int, last int, match_doc_id long")
-    return _joined(marks.unionByName(across))
+    after = [F.lead(f"e_{c}").over(following).alias(f"f_{c}") for c in _NAMES]
+    pairs = edges.select("edge", *(f"e_{c}" for c in _NAMES), *after, F.lead("edge").over(following).alias("edge2")).filter("edge = 'last' and edge2 = 'first'")
+    return _joined(marks.unionByName(pairs.drop("edge", "edge2").mapInArrow(_across(min_words), _MARKED)))
 
 
 def _joined(marks: DataFrame) -> DataFrame:
-    """Marks of a text that overlap or touch become one passage."""
-    marks = marks.groupBy("doc_id", "first").agg(F.max("last").alias("last"), F.min("match_doc_id").alias("match_doc_id"))
-    before = Window.partitionBy("doc_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    """Marks of one text that overlap or touch become one passage. No task sees more than the marks of a text."""
+    marks = marks.groupBy("doc_id", "text_key", "first").agg(F.max("last").alias("last"), F.min("match_doc_id").alias("match_doc_id"))
+    text = ("doc_id", "text_key")
+    before = Window.partitionBy(*text).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(-1))).cast("int"))
-    marks = marks.withColumn("run", F.sum("new").over(Window.partitionBy("doc_id").orderBy("first")))
-    out = marks.groupBy("doc_id", "run").agg(F.min("first").alias("first_word"), F.max("last").alias("end"), F.min("match_doc_id").alias("match_doc_id"))
+    marks = marks.withColumn("run", F.sum("new").over(Window.partitionBy(*text).orderBy("first")))
+    out = marks.groupBy(*text, "run").agg(F.min("first").alias("first_word"), F.max("last").alias("end"), F.min("match_doc_id").alias("match_doc_id"))
     return out.select("doc_id", F.col("first_word").cast("long"), (F.col("end") - F.col("first_word")).cast("long").alias("n_words"), "match_doc_id")

@@ -1,9 +1,11 @@
 """Quality rules: fixed limits first, then robust multivariate outliers. DataFrame operations only.
 
-Each text becomes a vector of transformed statistics. Per language and source a minimum-covariance-determinant estimate
-is found by concentration steps: from a few deterministic starts, take the share of texts nearest by Mahalanobis
-distance, estimate mean and covariance anew, repeat; the start with the smallest determinant wins and is reweighted.
-A text far from its group's centre is rejected.
+Each text becomes a vector of transformed statistics. Per language and source, whatever the group's size, a
+minimum-covariance-determinant estimate is found by concentration steps: from four deterministic starts, take the share of
+texts nearest by Mahalanobis distance, estimate mean and covariance anew, repeat. After a few steps the two starts with
+the smallest determinants go on until neither changes; the smaller determinant wins and is reweighted. A text far from
+its group's centre is rejected. The variance added to every statistic stands in for what a small group cannot show: of a
+group of one or two texts none is rejected unless they lie far apart.
 
 Vectors are held as whole multiples of 1/4096 and moments as decimal sums, so a rerun or another partitioning gives the
 same estimates to the last bit. Order statistics come from counts per distance bin, never from a sort of a group.
@@ -23,11 +25,11 @@ MIN_WORDS = 50
 #: and of words in repeated windows per word. None depends on a text's length as such.
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 SCALE = 4096
-#: Share of a group that a concentration step keeps, and steps taken from each start.
-KEPT_SHARE, STEPS = 0.75, 3
-#: Groups under this size are estimated together with their language's other small groups, then with all small ones;
-#: if even those are fewer, no text of them is rejected.
-LEAST_GROUP = 100
+#: Share of a group that a concentration step keeps, and steps taken from every start before the best BEST go on.
+KEPT_SHARE, STEPS, BEST = 0.75, 2, 2
+#: Determinants fall from step to step, so the steps end by themselves; distances are told by bins, which could make the
+#: last ones alternate, hence a bound far beyond the steps ever needed.
+MOST_STEPS = 60
 #: chi-square(5): consistency factors of the 0.75 and 0.975 shares, and the 0.975 quantile that reweighting uses.
 CONSISTENCY, NEAR, NEAR_FACTOR = 1.3877, 12.8325, 1.0527
 #: Squared distance beyond which a text is rejected. Statistics of prose have heavier tails than a normal law.
@@ -99,7 +101,7 @@ def _with_distance(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> Dat
         inner = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"y{k}"), range(i), F.col(f"x{i}") / SCALE - F.col(f"m{i}"))  # noqa: B023
         out = out.withColumn(f"y{i}", inner / F.col(f"l{i}{i}"))
     d2 = reduce(lambda a, i: a + F.col(f"y{i}") * F.col(f"y{i}"), range(5), F.lit(0.0))
-    return out.withColumn("d2", d2).drop(*(c for c in estimate.columns if c not in keys), *(f"y{i}" for i in range(5)))
+    return out.withColumn("d2", d2).drop(*(c for c in estimate.columns if c[0] in "ml" and c[1:].isdigit()), *(f"y{i}" for i in range(5)))
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
@@ -112,47 +114,58 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return rows.join(smaller(materialize(last, "mcd-last"), 60), ["grp", "start"]).filter("bin <= last")
 
 
+#: Centre and spread of a start as ranks of a group's values: of all values, by the middle half, and by the lower part
+#: (junk adds symbols, capitals and repeats).
+STARTS = {"median": (0.5, None), "middle": (0.5, (0.25, 0.75)), "low": (0.25, (0.1, 0.5))}
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    ranks = [0.1, 0.25, 0.5, 0.75]
+    found = rows.groupBy("grp").agg(*(F.percentile(x, F.array(*map(F.lit, ranks))).alias(f"p{i}") for i, x in enumerate(FEATURES)))
+    out = _moments(rows.select("grp", *FEATURES, F.lit("all").alias("start")), 1.0)
+    for name, (centre, spread) in STARTS.items():
+        at = lambda i, rank: F.get(f"p{i}", F.lit(ranks.index(rank))) / SCALE
+        width = lambda i: F.lit(0.0) if spread is None else at(i, spread[1]) - at(i, spread[0])  # noqa: B023, E731
+        scale = [(F.sqrt(width(i) * width(i) + FLOOR) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS]
+        out = out.unionByName(found.select("grp", F.lit(name).alias("start"), *(at(i, centre).alias(f"m{i}") for i in range(5)), *scale, F.lit(float("inf")).alias("logdet")))
+    return materialize(out, "mcd-start")
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """grp, x0..x4 (materialised) -> one reweighted MCD estimate per group (start is dropped)."""
-    steps = F.explode(F.array(F.lit("all"), F.lit("median")))
-    both = rows.select("grp", *FEATURES, steps.alias("start"))
-    middle = rows.groupBy("grp").agg(*(F.percentile(x, F.lit(0.5)).alias(f"p{i}") for i, x in enumerate(FEATURES)))
-    first = _moments(rows.select("grp", *FEATURES, F.lit("all").alias("start")), 1.0).drop("logdet")
-    unit = [F.lit(FLOOR**0.5 if i == j else 0.0).alias(f"l{i}{j}") for i, j in _PAIRS]
-    second = middle.select("grp", F.lit("median").alias("start"), *((F.col(f"p{i}") / SCALE).alias(f"m{i}") for i in range(5)), *unit)
-    estimate = materialize(first.unionByName(second), "mcd-start")
-    for _ in range(STEPS):
-        estimate = materialize(_moments(_nearest(_with_distance(both, estimate, ["grp", "start"])), CONSISTENCY), "mcd-step")
-    best = Window.partitionBy("grp").orderBy("logdet", "start")
-    best = materialize(estimate.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "logdet"), "mcd-best")
-    near = _with_distance(rows, best.drop("start"), ["grp"]).filter(F.col("d2") <= NEAR).withColumn("start", F.lit("near"))
+    """grp, x0..x4 (materialised) -> one reweighted MCD estimate per group."""
+    estimate = _starts(rows)
+    every = rows.select("grp", *FEATURES)
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))  # four rows a group
+    for step in range(MOST_STEPS):
+        # A group's rows meet each start that is left of it.
+        met = _with_distance(every, estimate.drop("logdet"), ["grp"])
+        new = materialize(_moments(_nearest(met), CONSISTENCY), "mcd-step")
+        if step == STEPS - 1:
+            new = materialize(new.withColumn("_r", rank).filter(F.col("_r") <= BEST).drop("_r"), "mcd-best")
+        elif step >= STEPS:
+            old = estimate.select("grp", "start", F.col("logdet").alias("_was"))
+            moved = new.join(smaller(old, 60), ["grp", "start"]).filter(F.abs(F.col("logdet") - F.col("_was")) > 1e-9)
+            if not moved.limit(1).count():
+                break
+        estimate = new
+    best = materialize(estimate.withColumn("_r", rank).filter("_r = 1").drop("_r", "logdet", "start"), "mcd-best")
+    near = _with_distance(rows, best, ["grp"]).filter(F.col("d2") <= NEAR).withColumn("start", F.lit("near"))
     return materialize(_moments(near, NEAR_FACTOR).drop("logdet", "start"), "mcd-final")
 
 
 def quality_rules(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per input row: doc_id, n_words, the counts, base_failed, distance (squared; null if none was taken), kept.
 
-    Null text has no word and fails the base rules. Null lang or source forms a group of its own. Rows that fail the
+    Null text has no word and fails the base rules. A null lang or source is a value like any other. Rows that fail the
     base rules take no part in the estimates. Repeated rows each count. An empty table gives an empty result. Columns
     besides doc_id, text, lang and source are not read.
     """
     counts = text_statistics(documents)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    grp = null_safe_key(F.col("lang"), F.col("source"))
-    counts = materialize(counts.select("*", failed.alias("base_failed"), grp.alias("own"), null_safe_key(F.col("lang")).alias("own_lang"), *feature_vector()), "rule-counts")
-    sizes = counts.filter("not base_failed").groupBy("own", "own_lang").agg(F.count("*").alias("n"))
-    few = F.when(F.col("n") < LEAST_GROUP, F.col("n")).otherwise(F.lit(0))
-    sizes = sizes.withColumn("n_lang", F.sum(few).over(Window.partitionBy("own_lang")))
-    least = F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("g"), "own")).when(F.col("n_lang") >= LEAST_GROUP, F.concat(F.lit("l"), "own_lang")).otherwise(F.lit("all"))
-    groups = materialize(sizes.select("own", least.alias("grp")), "rule-groups")
-    rows = counts.join(smaller(groups, 100), "own", "left").withColumn("grp", F.when(~F.col("base_failed"), F.col("grp")))
-    rows = materialize(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "grp", *FEATURES), "rule-rows")
-    estimates = robust_estimates(rows.filter("grp is not null").select("grp", *FEATURES))
-    small = rows.filter("grp = 'all'").limit(LEAST_GROUP).count() < LEAST_GROUP
-    if small:
-        estimates = estimates.filter("grp <> 'all'")
     out = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    judged = _with_distance(rows.join(smaller(estimates.select("grp"), 60), "grp", "left_semi"), estimates, ["grp"]).select(*out, F.col("d2").alias("distance"))
-    others = rows.join(smaller(estimates.select("grp"), 60), "grp", "left_anti").select(*out, F.lit(None).cast("double").alias("distance"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return judged.unionByName(others).withColumn("kept", kept)
+    rows = counts.withColumn("base_failed", failed).withColumn("grp", F.when(~F.col("base_failed"), null_safe_key(F.col("lang"), F.col("source"))))
+    rows = materialize(rows.select(*out, "grp", *feature_vector()), "rule-rows")
+    estimates = robust_estimates(rows.filter("grp is not null").select("grp", *FEATURES))
+    judged = _with_distance(rows.filter("grp is not null"), estimates, ["grp"]).select(*out, F.col("d2").alias("distance"))
+    others = rows.filter("grp is null").select(*out, F.lit(None).cast("double").alias("distance"))
+    return judged.unionByName(others).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))

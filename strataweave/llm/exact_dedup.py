@@ -5,6 +5,9 @@ of complete contents. Once the table holds ``budget`` bytes, contents it has no
 value of the next hash bits, and each file is worked off the same way, so memory stays bounded whatever a partition
 holds. Every input partition is combined with the same table before the shuffle: a group of copies, however large,
 sends one row per input partition, not one per copy.
+
+Spill files live in one task and in Spark's own local folders, as its shuffle spills do: a task that is lost takes them
+along and starts anew. Rows learn their group by SHA-256; that no two contents share one is checked, not taken for granted.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import SPACE, bounded_batches, join_group_facts, materialize, pick
+from strataweave.llm.common import SPACE, bounded_batches, join_group_facts, materialize, pick, smaller, whole_rows
 
 #: Content bytes a task's table may hold before it spills.
 TABLE_BYTES = 64 << 20
 FANOUT_BITS = 4
-_OUT = pa.schema([("sha", pa.binary()), ("text", pa.string()), ("keep_id", pa.int64()), ("n", pa.int64())])
+_OUT = pa.schema([("sha", pa.binary()), ("text", pa.string()), ("keep_id", pa.int64()), ("n", pa.int64()), ("same", pa.int64())])
 
 
 class OpenTable:
@@ -63,26 +66,30 @@ class OpenTable:
                 self.slots[at] = entry
 
 
-def _lowest(a: int | None, b: int | None) -> int | None:
-    return b if a is None else a if b is None else min(a, b)
+def _merge(own: list, other: list) -> None:
+    """[smallest id (null if there is no other), rows, rows with that id] of two parts of a group, into the first."""
+    if own[0] == other[0]:
+        own[2] += other[2]
+    elif own[0] is None or other[0] is not None and other[0] < own[0]:
+        own[0], own[2] = other[0], other[2]
+    own[1] += other[1]
 
 
 def grace_groups(rows: Iterator[tuple[bytes, bytes, list]], budget: int, folder: str, level: int = 0) -> Iterator[tuple[bytes, bytes, list]]:
-    """Groups (sha, content, [smallest id, count]) of rows of the same form, in bounded memory."""
+    """Groups (hash, content, [smallest id, rows, rows with it]) of rows (sha, content, the same), in bounded memory."""
     table, files = OpenTable(), {}
     for sha, content, value in rows:
         h = int.from_bytes(sha[:8], "little")
         entry, slot = table.find(h, content)
         if entry >= 0:
-            own = table.value[entry]
-            own[0], own[1] = _lowest(own[0], value[0]), own[1] + value[1]
+            _merge(table.value[entry], value)
         elif table.bytes < budget or not table.hash:
             table.put(slot, h, content, list(value))
         else:
             part = (h >> (FANOUT_BITS * (level % 12) + 8)) & ((1 << FANOUT_BITS) - 1)
             if part not in files:
                 path = f"{folder}/{level}-{part}.arrow"
-                schema = pa.schema([("sha", pa.binary()), ("c", pa.large_binary()), ("id", pa.int64()), ("n", pa.int64())])
+                schema = pa.schema([("sha", pa.binary()), ("c", pa.large_binary()), ("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64())])
                 files[part] = [path, pa.ipc.new_file(path, schema), schema, []]
             files[part][3].append((sha, content, *value))
             if len(files[part][3]) >= 256:
@@ -120,17 +127,17 @@ def _combine(budget: int):
 
         def rows():
             for b in batches:
-                ids = b.column("keep_id").to_pylist()
-                counts = b.column("n").to_pylist()
-                for sha, text, i, n in zip(b.column("sha").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), ids, counts, strict=True):
-                    yield sha, text, [i, n]
+                values = zip(*(b.column(c).to_pylist() for c in ("keep_id", "n", "same")), strict=True)
+                for sha, text, value in zip(b.column("sha").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), values, strict=True):
+                    yield sha, text, list(value)
 
-        folder = tempfile.mkdtemp(prefix="grace-")
+        # Spark tells its workers its local folders; a folder of the machine serves only outside of one.
+        folder = tempfile.mkdtemp(prefix="grace-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         try:
             held: list[tuple] = []
             size = 0
-            for _, content, (i, n) in grace_groups(rows(), budget, folder):
-                held.append((hashlib.sha256(content).digest(), content, i, n))
+            for _, content, value in grace_groups(rows(), budget, folder):
+                held.append((hashlib.sha256(content).digest(), content, *value))
                 size += len(content)
                 if size > 4 << 20:
                     yield _batch(held)
@@ -144,8 +151,8 @@ def _combine(budget: int):
 
 
 def _batch(held: list[tuple]) -> pa.RecordBatch:
-    sha, content, ids, counts = zip(*held, strict=True)
-    columns = [pa.array(sha, pa.binary()), pa.array(content, pa.binary()).cast(pa.string()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())]
+    sha, content, *values = zip(*held, strict=True)
+    columns = [pa.array(sha, pa.binary()), pa.array(content, pa.binary()).cast(pa.string()), *(pa.array(v, pa.int64()) for v in values)]
     return pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
 
@@ -155,17 +162,26 @@ def normalised(text=None):
 
 
 def content_groups(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
-    """One row per distinct normalised text: sha (binary), keep_id (smallest doc_id), n. Texts are compared in full.
+    """One row per distinct normalised text: sha (binary), keep_id (smallest doc_id), n, same (rows with keep_id).
 
-    Two different texts of one SHA-256 would raise when their rows meet (sha would not be unique); none is known.
+    Texts are compared in full. The result is a table in the shared folder.
     """
     bounded_batches(documents.sparkSession)
     rows = pick(documents, "doc_id", "text").select(
-        F.unhex(F.sha2(normalised(), 256)).alias("sha"), normalised().alias("text"), F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("n")
+        F.unhex(F.sha2(normalised(), 256)).alias("sha"), normalised().alias("text"), F.col("doc_id").cast("long").alias("keep_id"), *(F.lit(1).cast("long").alias(c) for c in ("n", "same"))
     )
-    schema = "sha binary, text string, keep_id long, n long"
+    schema = "sha binary, text string, keep_id long, n long, same long"
     once = rows.mapInArrow(_combine(budget), schema)
-    return once.repartition("sha").mapInArrow(_combine(budget), schema).drop("text")
+    return materialize(once.repartition("sha").mapInArrow(_combine(budget), schema).drop("text"), "exact-groups")
+
+
+def _copied(groups: DataFrame) -> tuple[DataFrame, int]:
+    """(groups of two rows or more, all rows). Raises ValueError if such a group shares its SHA-256 with another text."""
+    many = groups.filter("n > 1")
+    shared = groups.join(smaller(many.select("sha"), 40), "sha", "left_semi").groupBy("sha").count().filter("count > 1")
+    if shared.limit(1).count():
+        raise ValueError("two different texts share one SHA-256")
+    return many, groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def exact_dedup(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
@@ -175,11 +191,9 @@ def exact_dedup(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     Repeated rows: rows with the kept doc_id all count as kept. An empty table gives an empty result. Columns besides
     doc_id and text are not read.
     """
-    groups = materialize(content_groups(documents, budget), "exact-groups")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    many = groups.filter("n > 1").select("sha", "keep_id", F.col("n").alias("group_size"))
+    many, total = _copied(content_groups(documents, budget))
     rows = pick(documents, "doc_id", "text").select("doc_id", F.unhex(F.sha2(normalised(), 256)).alias("sha"))
-    out = join_group_facts(rows, many, "sha", "group_size", total)
+    out = join_group_facts(rows, many.select("sha", "keep_id", F.col("n").alias("group_size")), "sha", "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -187,14 +201,14 @@ def exact_dedup(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 def drop_copies(documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``documents``, all columns, less all but one of each group of equal texts (the smallest doc_id stays).
 
-    Rows equal in doc_id and text are reduced to one, too.
+    Null text counts as empty; a null doc_id stays only where no other is there. Of rows equal in doc_id and text one
+    stays, whichever. An empty table gives an empty one. Columns of any name may stand beside doc_id and text.
     """
-    groups = materialize(content_groups(documents, budget), "exact-groups")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    many = groups.filter("n > 1").select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep_id"), F.col("n").alias("_n"))
-    rows = join_group_facts(documents.withColumn("_sha", F.unhex(F.sha2(normalised(), 256))), many, "_sha", "_n", total)
-    rows = rows.filter(F.col("_n").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep_id")))
-    kept = rows.select("_sha").agg(F.count("*")).first()[0]
-    if kept > groups.count():
-        rows = rows.dropDuplicates(["_sha"])
-    return rows.select(*documents.columns)
+    many, total = _copied(content_groups(documents, budget))
+    rows = whole_rows(documents).withColumn("sha", F.unhex(F.sha2(normalised(F.col("row.text")), 256)))
+    met = join_group_facts(rows, many, "sha", "n", total)
+    staying = F.col("n").isNull() | F.col("row.doc_id").cast("long").eqNullSafe(F.col("keep_id"))
+    # Rows that repeat the one that stays are few, if any: only they are compared once more.
+    once = met.filter(staying & (F.coalesce("same", F.lit(1)) == 1)).select("row")
+    twice = rows.join(smaller(many.filter("same > 1").select("sha", "keep_id"), 48), "sha").filter(F.col("row.doc_id").cast("long").eqNullSafe(F.col("keep_id")))
+    return once.unionByName(twice.dropDuplicates(["sha"]).select("row")).select("row.*")

@@ -1,7 +1,7 @@
 """Cost-balanced packing of documents into sequences of at most ``capacity`` tokens.
 
 A document's cost in a sequence is ``linear * n + quadratic * n * n`` (attention within the document). Documents are
-dealt by hash into groups of about ``GROUP_DOCS``; each group is packed by itself in one task's memory. Whole
+dealt by hash into groups of about ``GROUP_DOCS`` or fewer; each group is packed by itself in one task's memory. Whole
 ``capacity``-token runs of a long document become sequences of their own. What is left is placed longest first, each in
 the cheapest sequence with room for it; if none has room the piece is cut at the largest gap and its rest goes back in
 line. A group's sequences are sized before it starts: as many full ones as its tokens fill, then one for each binary
@@ -24,6 +24,8 @@ from strataweave.llm.common import bounded_batches, pick
 
 CAPACITY = 4096
 GROUP_DOCS = 1000
+#: Bytes of text a group may hold on average: long documents make smaller groups.
+GROUP_BYTES = 16 << 20
 #: Cost of a token by itself, and of each pair of tokens of one document in one sequence.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -99,7 +101,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     bounded_batches(documents.sparkSession)
-    groups = max(1, round(documents.count() / group_docs))
+    docs, size = documents.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, round(docs / group_docs), size // GROUP_BYTES)
     rows = pick(documents, "doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), F.col("doc_id").cast("long"), "text")
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(_pack(tokenizer or tokens.default_path(), capacity, linear, quadratic), _SCHEMA)

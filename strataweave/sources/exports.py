@@ -64,3 +64,25 @@ def coverage_markdown(coverage: DataFrame) -> str:
     rows = coverage.orderBy("module_action").collect()
     head = "| action | triples | mapped | strong | review |\n|---|---|---|---|---|"
     return "\n".join([head, *(f"| {r.module_action} | {r.n_triples} | {r.mapped_ratio:.2%} | {r.strong_ratio:.2%} | {r.n_review} |" for r in rows)])
+
+
+def assemble(emitted: DataFrame, path: str, shapes: DataFrame | None = None, triples: DataFrame | None = None) -> str:
+    """Emitted triples as CSV files under ``path``/triples and the report as ``path``/report (Spark's writers: any file system).
+
+    With shapes and the ontology's triples the emitted ones are validated first, and the report says how many violations
+    there are. Returns the report.
+    """
+    from strataweave.operators.emit import coverage
+    from strataweave.operators.ontology import validate_shapes
+    from strataweave.sources.rdf import emitted_to_rdf
+
+    columns = ("subject", "predicate", "object", "confidence", "method", "review_flag", "module_action")
+    emitted.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}/triples")
+    report = coverage_markdown(coverage(emitted))
+    if shapes is not None:
+        own = emitted_to_rdf(emitted)
+        n = validate_shapes(own if triples is None else own.unionByName(triples), shapes).count()
+        report += f"\n\nShapes: {'conforms' if n == 0 else f'{n} violations'}"
+    spark = emitted.sparkSession
+    spark.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    return report

@@ -1,9 +1,10 @@
-"""Turtle and N-Triples in and out. Turtle is read per file (it cannot be split); N-Triples are written line by line."""
+"""RDF in and out. Turtle, RDF/XML and JSON-LD are read per file (they cannot be split); N-Triples are split by line."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strataweave.operators.ontology import RDF, TRIPLE, XSD
+from strataweave.sources.rdf_formats import parse_jsonld, parse_rdfxml
 
 _TOKEN = re.compile(
-    r"""(?P<ws>\s+|\#[^\n]*)|(?P<iri><[^<>"\s]*>)|(?P<string>"(?:[^"\\\n]|\\.)*")|(?P<lang>@(?!prefix\b|base\b)[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<word>@prefix|@base)"""
+    r"""(?P<ws>\s+|\#[^\n]*)|(?P<iri><[^<>"\s]*>)|(?P<string>\"{3}(?:\"{0,2}(?:[^"\\]|\\[\s\S]))*\"{3}|'{3}(?:'{0,2}(?:[^'\\]|\\[\s\S]))*'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@(?!prefix\b|base\b)[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<word>@prefix|@base|(?i:prefix|base)(?=\s+[\w.-]*:?\s*<))"""
     r"""|(?P<dtype>\^\^)|(?P<number>[+-]?(?:\d+\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+|\d+)(?![\w:]))|(?P<bnode>_:[\w.-]*\w)|(?P<name>(?:[A-Za-z][\w.-]*)?:(?:[\w%](?:[\w%.:-]*[\w%:-])?)?)|(?P<bool>(?:true|false)\b)|(?P<a>a(?=[\s<\[]))|(?P<mark>[\[\](),;.])"""
 )
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|([\s\S]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\", "'": "'"}
 
 
@@ -28,7 +31,7 @@ class Turtle:
 
     def __init__(self, text: str, where: str = "b"):
         self.tokens = list(self._scan(text))
-        self.at, self.prefixes, self.out, self.blank, self.where = 0, {}, [], 0, where
+        self.at, self.prefixes, self.base, self.out, self.blank, self.where = 0, {}, "", [], 0, where
 
     @staticmethod
     def _scan(text: str) -> Iterator[tuple[str, str]]:
@@ -38,8 +41,6 @@ class Turtle:
             if m is None:
                 raise TurtleError(f"line {text.count(chr(10), 0, at) + 1}: cannot read {text[at : at + 30]!r}")
             if m.lastgroup != "ws":
-                if text.startswith('"""', at):
-                    raise TurtleError(f"line {text.count(chr(10), 0, at) + 1}: long strings are not supported")
                 yield m.lastgroup, m[0]
             at = m.end()
 
@@ -57,13 +58,15 @@ class Turtle:
 
     def parse(self) -> list[tuple]:
         while self.peek()[0] != "end":
-            if self.peek()[1] == "@prefix":
-                self.next()
-                name, iri = self.next()[1], self.next()[1]
-                self.prefixes[name] = iri[1:-1]
-                self.expect(".")
-            elif self.peek()[1] == "@base":
-                raise TurtleError("@base is not supported")
+            if self.peek()[0] == "word":
+                word = self.next()[1]
+                if word.lower().endswith("base"):
+                    self.base = urljoin(self.base, self.next()[1][1:-1])
+                else:
+                    name, iri = self.next()[1], self.next()[1]
+                    self.prefixes[name] = urljoin(self.base, iri[1:-1])
+                if word.startswith("@"):
+                    self.expect(".")
             else:
                 kind, text = self.peek()
                 subject = self.term()[0]
@@ -96,7 +99,7 @@ class Turtle:
     def term(self) -> tuple[str, str, str | None, str | None]:
         kind, text = self.next()
         if kind == "iri":
-            return text[1:-1], "iri", None, None
+            return urljoin(self.base, text[1:-1]) if self.base else text[1:-1], "iri", None, None
         if kind == "name":
             prefix, _, local = text.partition(":")
             if f"{prefix}:" not in self.prefixes:
@@ -105,7 +108,8 @@ class Turtle:
         if kind == "bnode":
             return f"_:{self.where}-{text[2:]}", "bnode", None, None
         if kind == "string":
-            value = re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), text[1:-1])
+            edge = 3 if text[:3] in ('"""', "'''") else 1
+            value = _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _ESCAPES.get(m[3], m[3]), text[edge:-edge])
             if self.peek()[0] == "lang":
                 return value, "literal", None, self.next()[1][1:]
             if self.peek()[0] == "dtype":
@@ -136,7 +140,10 @@ FLATTEN = tuple(f"http://www.w3.org/2002/07/owl#{x}" for x in ("members", "union
 
 def parse_turtle(text: str, where: str = "b") -> list[tuple]:
     """(s, p, o, o_kind, datatype, lang) rows of a Turtle text; raises TurtleError on what it does not know."""
-    rows = Turtle(text, where).parse()
+    return _flattened(Turtle(text, where).parse())
+
+
+def _flattened(rows: list[tuple]) -> list[tuple]:
     members: dict[str, list[tuple]] = {}
     for s, p, *o in rows:
         if p == RDF + "member":
@@ -159,24 +166,79 @@ def turtle_string(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(parse_turtle(text), TRIPLE).dropDuplicates()
 
 
-def read_turtle(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Turtle files (path, folder or glob), one task per file; a file that cannot be read is skipped unless ``strict``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ttl").load(path).select("path", "content")
+#: Formats by file suffix.
+SUFFIXES = {"ttl": "turtle", "turtle": "turtle", "nt": "turtle", "n3": "turtle", "rdf": "xml", "owl": "xml", "xml": "xml", "jsonld": "json-ld", "json": "json-ld"}
+
+
+def parse_rdf(text: str, format: str, where: str = "b") -> list[tuple]:
+    """Rows of a text in "turtle" (N-Triples included), "xml" or "json-ld", lists flattened as in ``parse_turtle``."""
+    parsers = {"turtle": lambda: Turtle(text, where).parse(), "xml": lambda: parse_rdfxml(text, where), "json-ld": lambda: parse_jsonld(text, where)}
+    if format not in parsers:
+        raise ValueError(f"unknown RDF format {format!r}")
+    return _flattened(parsers[format]())
+
+
+def _files(spark: SparkSession, path: str, glob: str, format: str | None) -> DataFrame:
+    """(path, error) of files that cannot be read and rows of the others, one task per file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
+        names = ["s", "p", "o", "o_kind", "datatype", "lang"]
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows = parse_turtle(bytes(c).decode("utf-8"), f"f{zlib.crc32(p.encode())}x")
-                except (TurtleError, UnicodeDecodeError):
-                    if strict:
-                        raise
-                    continue
-                yield pd.DataFrame(rows, columns=["s", "p", "o", "o_kind", "datatype", "lang"])
-
-    return files.mapInPandas(run, TRIPLE).dropDuplicates()
+                    kind = format or SUFFIXES.get(p.rsplit(".", 1)[-1].lower(), "turtle")
+                    out = pd.DataFrame(parse_rdf(bytes(c).decode("utf-8"), kind, f"f{zlib.crc32(p.encode())}x"), columns=names)
+                    out["error"] = None
+                except ValueError as e:  # what a parser refuses, and bytes that are no UTF-8
+                    out = pd.DataFrame([[None] * 6 + [f"{type(e).__name__}: {e}"]], columns=[*names, "error"])
+                out["path"] = p
+                yield out
+
+    return files.mapInPandas(run, f"{TRIPLE}, error string, path string")
+
+
+def read_rdf(spark: SparkSession, path: str, glob: str = "*", format: str | None = None, bad: str = "raise") -> DataFrame:
+    """RDF files (path, folder or glob), the format by suffix unless given. A file that cannot be read raises ValueError with its
+    path, or is left out with ``bad="skip"``; ``rdf_errors`` lists such files."""
+    rows = _files(spark, path, glob, format)
+    if bad == "raise":
+        said = F.raise_error(F.concat_ws(": ", F.lit("cannot read RDF"), "path", "error"))
+        rows = rows.withColumn("s", F.when(F.col("error").isNull(), F.col("s")).otherwise(said))
+    return rows.filter("s is not null").select("s", "p", "o", "o_kind", "datatype", "lang").dropDuplicates()
+
+
+def rdf_errors(spark: SparkSession, path: str, glob: str = "*", format: str | None = None) -> DataFrame:
+    """(path, error) of the files that ``read_rdf`` cannot read."""
+    return _files(spark, path, glob, format).filter("error is not null").select("path", "error")
+
+
+def read_turtle(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Turtle files; one that cannot be read is left out unless ``strict`` (see ``rdf_errors``)."""
+    return read_rdf(spark, path, "*.ttl", "turtle", "raise" if strict else "skip")
+
+
+def load_ontology(spark: SparkSession, source: DataFrame | str) -> DataFrame:
+    """Triples as they are, or from a path: N-Triples by line, folders and other files by their suffixes."""
+    if isinstance(source, DataFrame):
+        return source.select("s", "p", "o", "o_kind", "datatype", "lang")
+    return read_ntriples(spark, source) if source.endswith(".nt") else read_rdf(spark, source)
+
+
+def load_defaults(spark: SparkSession, sources: list[DataFrame | str], aliases: DataFrame | None = None) -> DataFrame:
+    """Several ontologies in one, each predicate again under its alias(src, dst), until no alias gives anything new."""
+    out = load_ontology(spark, sources[0])
+    for source in sources[1:]:
+        out = out.unionByName(load_ontology(spark, source))
+    if aliases is None:
+        return out.dropDuplicates()
+    # Aliases of aliases: a rule table is small, its closure smaller still.
+    rules = {(r.src, r.dst) for r in aliases.select("src", "dst").collect()}
+    while new := {(a, d) for a, b in rules for c, d in rules if b == c} - rules:
+        rules |= new
+    return derive(out, spark.createDataFrame(sorted(rules), "src string, dst string"))
 
 
 class TurtleSource(DataSource):

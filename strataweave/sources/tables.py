@@ -159,18 +159,44 @@ def parse_table(spark: SparkSession, text: str, hint: str | None = None) -> Data
     return grid(spark, *PARSERS[hint or detect_format(text)](text))
 
 
-def to_markdown(table: DataFrame, limit: int = 1000) -> str:
-    """A small table as a pipe table."""
+def parse_light(text: str) -> tuple[list[str], list[list[str]]]:
+    """A pasted table without a hint: lines that start with a pipe make it Markdown, a tab in the first line TSV, else CSV.
+
+    Rows of a pipe table are cut or filled to the header's width; rows of blanks are dropped from the others.
+    """
+    lines = [x.strip() for x in text.strip().splitlines() if x.strip()]
+    piped = [x for x in lines if x.startswith("|") and not re.fullmatch(r"\|[\s\-:|]+\|", x)]
+    if piped:
+        heads, *rows = ([c.strip() for c in x.strip("|").split("|")] for x in piped)
+        return heads, [(r + [""] * len(heads))[: len(heads)] for r in rows]
+    rows = list(csv.reader(io.StringIO(text.strip()), delimiter="\t" if lines and "\t" in lines[0] else ","))
+    return ([h.strip() for h in rows[0]], [[c.strip() for c in r] for r in rows[1:] if any(c.strip() for c in r)]) if rows else ([], [])
+
+
+#: Rows that a table put out as one string may have.
+MOST_ROWS = 100_000
+
+
+def _small(table: DataFrame) -> tuple[list[str], list]:
     names = [c for c in table.columns if c != ROW_ID]
-    rows = table.select(*(F.col(f"`{c}`") for c in names)).limit(limit).collect()
+    rows = table.select(*(F.col(f"`{c}`") for c in names)).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"over {MOST_ROWS} rows: write files instead")
+    return names, rows
+
+
+def to_markdown(table: DataFrame) -> str:
+    """A small table as a pipe table; a larger one than MOST_ROWS raises ValueError."""
+    names, rows = _small(table)
     line = lambda cells: "| " + " | ".join(str("" if c is None else c).replace("|", "\\|") for c in cells) + " |"
     return "\n".join([line(names), line(["---"] * len(names)), *(line(r) for r in rows)])
 
 
-def to_csv(table: DataFrame, limit: int = 100_000) -> str:
-    names = [c for c in table.columns if c != ROW_ID]
+def to_csv(table: DataFrame) -> str:
+    """A small table as CSV text; a larger one than MOST_ROWS raises ValueError (``df.write.csv`` has no such bound)."""
+    names, rows = _small(table)
     out = io.StringIO()
     w = csv.writer(out)
     w.writerow(names)
-    w.writerows(table.select(*(F.col(f"`{c}`") for c in names)).limit(limit).collect())
+    w.writerows(rows)
     return out.getvalue()

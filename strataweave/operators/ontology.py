@@ -20,6 +20,7 @@ TRIPLE = "s string, p string, o string, o_kind string, datatype string, lang str
 
 # The families of XSD ranges.
 NUMERIC = tuple(XSD + x for x in "integer int decimal float double nonNegativeInteger positiveInteger nonPositiveInteger negativeInteger long short byte unsignedInt unsignedLong unsignedShort".split())
+NUMERIC_WHOLE = tuple("integer int nonNegativeInteger positiveInteger nonPositiveInteger negativeInteger long short byte unsignedInt unsignedLong unsignedShort".split())
 TEMPORAL = tuple(XSD + x for x in "dateTime date time gYear gYearMonth".split())
 STRINGS = tuple(XSD + x for x in "string normalizedString token language".split())
 BOOLEAN = (XSD + "boolean",)
@@ -126,6 +127,15 @@ def disjoint_inherited(triples: DataFrame, classes_closure: DataFrame | None = N
     return left.join(up, F.col("b") == F.col("ancestor")).select(F.col("x").alias("a"), F.col("child").alias("b")).filter("a <> b").distinct()
 
 
+def disjoint_from(triples: DataFrame, classes_closure: DataFrame | None = None) -> DataFrame:
+    """(uri, apart): classes that a class or an ancestor of it is declared disjoint from; as many rows as there are declarations
+    above a class, whatever lies below ``apart``."""
+    up = closure(class_edges(triples), reflexive=True) if classes_closure is None else classes_closure
+    pairs = disjoint_declared(triples)
+    up = up.select("child", "ancestor").unionByName(pairs.select(F.col("a").alias("child"), F.col("a").alias("ancestor"))).distinct()
+    return up.join(pairs, F.col("ancestor") == F.col("a")).select(F.col("child").alias("uri"), F.col("b").alias("apart")).filter("uri <> apart").distinct()
+
+
 def classes(triples: DataFrame) -> DataFrame:
     """uri, label, pref_label, alt_labels, comment, super_classes, sub_classes, disjoint_with."""
     typed = of(triples, RDF + "type").filter(F.col("o").isin(OWL + "Class", RDFS + "Class", SKOS + "Concept")).select(F.col("s").alias("uri"))
@@ -240,10 +250,19 @@ def instances_of(triples: DataFrame, class_uri: str) -> DataFrame:
     return individuals(triples).join(mine, "type", "left_semi").select("uri").distinct()
 
 
+def _has_form(value: Column, range_: Column) -> Column:
+    """Whether a literal has the form of an XSD range; a range of no known family takes anything."""
+    whole = range_.isin(*(XSD + x for x in NUMERIC_WHOLE))
+    number = F.when(whole, value.rlike("^[+-]?[0-9]+$")).otherwise(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
+    return F.when(range_.isin(*NUMERIC), number).when(range_.isin(*BOOLEAN), F.lower(value).isin("true", "false", "0", "1")).when(range_.isin(*TEMPORAL), value.rlike(r"^-?[0-9]{4}|^[0-9]{2}:[0-9]{2}")).otherwise(F.lit(True))
+
+
 def violations(statements: DataFrame, triples: DataFrame) -> DataFrame:
     """statements(s, p, o, o_is_literal) -> also violation: the first rule broken, or null.
 
-    In order: UndefinedProperty, ObjectPropertyRequiresURI, Domain, DisjointDomain, Range, DisjointRange, Functional.
+    In order: UndefinedProperty, ObjectPropertyRequiresURI, DisjointDomain, Domain, DisjointRange, Range, Functional,
+    DatatypeMismatch. A literal mismatches if the property's ranges are numbers, truth values or dates and it has none of
+    their forms.
     """
     props = properties(triples).select(F.col("uri").alias("p"), "property_type", "domains", "ranges")
     functional = of(triples, RDF + "type").filter(F.col("o") == OWL + "FunctionalProperty").select(F.col("s").alias("p"), F.lit(True).alias("functional"))
@@ -269,6 +288,7 @@ def violations(statements: DataFrame, triples: DataFrame) -> DataFrame:
         .when(is_object & clash(F.col("o_banned"), F.col("ranges")), "DisjointRangeViolation")
         .when(is_object & broken(F.col("o_types"), F.col("ranges")), "RangeViolation")
         .when(F.coalesce("functional", F.lit(False)) & (F.col("n_values") > 1), "FunctionalPropertyViolation")
+        .when(~is_object & F.col("o_is_literal") & (F.size("ranges") > 0) & ~F.exists("ranges", lambda r: _has_form(F.col("o"), r)), "DatatypeMismatch")
     )
     return out.select("s", "p", "o", "o_is_literal", first.alias("violation"))
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions import cells as C
@@ -23,11 +21,10 @@ from strataweave.operators import retrieval as R
 from strataweave.operators import spans as W
 from strataweave.operators import text as T
 from strataweave.plans import interpret
+from strataweave.plans import schema_queries, table_queries, text_queries
 from strataweave.plans.fixtures import CELLS, CEA, CPA, CTA, CLAUSES, MENTIONS, trade_ontology
+from strataweave.plans.registry import QUERIES, SQL, query, quoted, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 PROFILED = {
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
@@ -37,27 +34,9 @@ PROFILED = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 # ---- profiles and roles
 
-_UUID, _ID, _NUM, _MEAS, _ISO = (_quoted(p.replace(r"[T\s]", "[T ]").replace(r"\s", "[ \t]")) for p in (A.UUID, A.STRUCTURED_ID, A.NUMBER, A.MEASUREMENT, A.ISO_DATE))
+_UUID, _ID, _NUM, _MEAS, _ISO = (quoted(p.replace(r"[T\s]", "[T ]").replace(r"\s", "[ \t]")) for p in (A.UUID, A.STRUCTURED_ID, A.NUMBER, A.MEASUREMENT, A.ISO_DATE))
 
 
 def _profile_cte(name: str, columns: tuple[str, ...]) -> str:
@@ -190,13 +169,13 @@ def string_scores(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("a", "b", S.jaro_udf(a, b).alias("jaro"), S.jaro_winkler_udf(a, b).alias("jaro_winkler"), S.seq_ratio_udf(a, b).alias("seq_ratio"), S.lexical_score(a, b).alias("lexical"))
 
 
-@query("clean_cell_text", "select * from (values " + ", ".join(f"({i}, {_quoted(want)})" for i, (_, want, *_) in enumerate(CELLS)) + ") t(id, cleaned)")
+@query("clean_cell_text", "select * from (values " + ", ".join(f"({i}, {quoted(want)})" for i, (_, want, *_) in enumerate(CELLS)) + ") t(id, cleaned)")
 def clean_cell_text(spark, sf_dir):
     rows = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(CELLS)], "id int, raw string")
     return rows.select("id", C.clean_cell(F.col("raw")).alias("cleaned"))
 
 
-@query("quantity_extract", "select * from (values " + ", ".join(f"({i}, {_quoted(q[0])}, {'null' if q[1] is None else q[1]}::double, {'null' if q[2] is None else _quoted(q[2])}::varchar)" for i, (_, _, q, _) in enumerate(CELLS)) + ") t(id, name, quantity, unit)")
+@query("quantity_extract", "select * from (values " + ", ".join(f"({i}, {quoted(q[0])}, {'null' if q[1] is None else q[1]}::double, {'null' if q[2] is None else quoted(q[2])}::varchar)" for i, (_, _, q, _) in enumerate(CELLS)) + ") t(id, name, quantity, unit)")
 def quantity_extract(spark, sf_dir):
     rows = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(CELLS)], "id int, raw string")
     return rows.select("id", C.extract_quantity(C.clean_text(F.col("raw"))).alias("q")).select("id", "q.name", "q.quantity", "q.unit")
@@ -205,7 +184,7 @@ def quantity_extract(spark, sf_dir):
 @query(
     "decompose_cells",
     "select id, pos, kind, name, quantity::double as quantity, rating::int as rating, zone from (values "
-    + ", ".join(f"({i}, {k}, {', '.join('null' if v is None else str(v) if isinstance(v, (int, float)) else _quoted(v) for v in part)})" for i, (*_, parts) in enumerate(CELLS) for k, part in enumerate(parts))
+    + ", ".join(f"({i}, {k}, {', '.join('null' if v is None else str(v) if isinstance(v, (int, float)) else quoted(v) for v in part)})" for i, (*_, parts) in enumerate(CELLS) for k, part in enumerate(parts))
     + ") t(id, pos, kind, name, quantity, rating, zone)",
 )
 def decompose_cells(spark, sf_dir):
@@ -311,52 +290,46 @@ def lcs(spark, sf_dir):
     return O.least_common_subsumer(asked, _place_triples(spark, sf_dir))
 
 
+@query(
+    "disjoint_from",
+    f"""{_UP}, rup as (select child, ancestor from up union select child, child from edges union select parent, parent from edges)
+select child as uri, 'urn:region:' || r_regionkey as apart from rup, region where ancestor like 'urn:region:%' and ancestor <> 'urn:region:' || r_regionkey""",
+)
+def disjoint_from(spark, sf_dir):
+    """What every class, customers included, is declared or inherits to be disjoint from: a few rows per class."""
+    return O.disjoint_from(_place_triples(spark, sf_dir))
+
+
 @query(
     "disjoint_inherited",
     """with n as (select 'urn:nation:' || n_nationkey as c, n_regionkey as r from nation union all select 'urn:region:' || r_regionkey, r_regionkey from region)
 select x.c as a, y.c as b from n x join n y on x.r <> y.r""",
 )
 def disjoint_inherited(spark, sf_dir):
+    """All pairs, so of nations and regions only: pairs of customers grow with their square (see disjoint_from)."""
     triples = _place_triples(spark, sf_dir).filter(~F.col("s").startswith("urn:customer:"))
     return O.disjoint_inherited(triples)
 
 
-@query(
-    "paths_3hop",
-    """with c as (select 'urn:customer:' || c_custkey as c, c_nationkey as n, n_regionkey as r from customer join nation on c_nationkey = n_nationkey where c_custkey <= 20)
-select c as src, 'urn:world' as dst, 3 as hops, c || '>urn:nation:' || n || '>urn:region:' || r || '>urn:world' as path from c""",
-)
-def paths_3hop(spark, sf_dir):
-    triples = _place_triples(spark, sf_dir).filter(F.col("p") == O.RDFS + "subClassOf")
-    ends = table(spark, sf_dir, "customer").filter("c_custkey <= 20").select(F.concat(F.lit("urn:customer:"), "c_custkey").alias("src"), F.lit("urn:world").alias("dst"))
-    return O.connecting_paths(triples, ends, 3, True).select("src", "dst", "hops", F.array_join("nodes", ">").alias("path"))
-
-
-@query("chain", f"{_UP} select 'urn:customer:' || c_custkey as uri, n.node, n.step from customer, lateral (select 'urn:customer:' || c_custkey as node, 0 as step union all select ancestor, distance from up where child = 'urn:customer:' || c_custkey) n where c_custkey <= 20")
-def chain(spark, sf_dir):
-    start = table(spark, sf_dir, "customer").filter("c_custkey <= 20").select(F.concat(F.lit("urn:customer:"), "c_custkey").alias("uri"))
-    return O.chain(_place_triples(spark, sf_dir), start, O.RDFS + "subClassOf")
-
-
 def _customers(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("urn:customer:"), "c_custkey").alias("uri"))
 
 
 @query(
-    "paths_3hop_all",
+    "paths_3hop",
     """with c as (select 'urn:customer:' || c_custkey as c, c_nationkey as n, n_regionkey as r from customer join nation on c_nationkey = n_nationkey)
 select c as src, 'urn:world' as dst, 3 as hops, c || '>urn:nation:' || n || '>urn:region:' || r || '>urn:world' as path from c""",
 )
-def paths_3hop_all(spark, sf_dir):
-    """From every customer; ``paths_3hop`` starts from those up to key 20."""
+def paths_3hop(spark, sf_dir):
+    """From every customer."""
     triples = _place_triples(spark, sf_dir).filter(F.col("p") == O.RDFS + "subClassOf")
     ends = _customers(spark, sf_dir).select(F.col("uri").alias("src"), F.lit("urn:world").alias("dst"))
     return O.connecting_paths(triples, ends, 3, True).select("src", "dst", "hops", F.array_join("nodes", ">").alias("path"))
 
 
-@query("chain_all", f"{_UP} select child as uri, ancestor as node, distance as step from up where child like 'urn:customer:%' union all select 'urn:customer:' || c_custkey, 'urn:customer:' || c_custkey, 0 from customer")
-def chain_all(spark, sf_dir):
-    """From every customer; ``chain`` starts from those up to key 20."""
+@query("chain", f"{_UP} select child as uri, ancestor as node, distance as step from up where child like 'urn:customer:%' union all select 'urn:customer:' || c_custkey, 'urn:customer:' || c_custkey, 0 from customer")
+def chain(spark, sf_dir):
+    """From every customer."""
     return O.chain(_place_triples(spark, sf_dir), _customers(spark, sf_dir), O.RDFS + "subClassOf")
 
 
@@ -385,7 +358,9 @@ def _shacl(kind: str, path: list[str], arg: str):
 
 query("shacl_mincount", "select 'urn:order:' || o_orderkey as focus, 'minCount' as kind, 'urn:status' as path from orders where o_orderstatus = 'P'")(_shacl("minCount", ["urn:status"], "1"))
 query("shacl_maxcount", "select 'urn:order:' || o_orderkey as focus, 'maxCount' as kind, 'urn:hasLine' as path from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey having count(distinct l_linenumber) > 4")(_shacl("maxCount", ["urn:hasLine"], "4"))
-query("shacl_datatype", "select 'urn:order:' || o_orderkey as focus, 'datatype' as kind, 'urn:price' as path from orders where false")(_shacl("datatype", ["urn:price"], O.XSD + "double"))
+query("shacl_datatype", "select 'urn:order:' || o_orderkey as focus, 'datatype' as kind, 'urn:price|urn:status' as path from orders where o_orderstatus <> 'P'")(_shacl("datatype", ["urn:price", "urn:status"], O.XSD + "double"))
+query("shacl_nodekind", "select 'urn:order:' || o_orderkey as focus, 'nodeKind' as kind, 'urn:hasLine|urn:status' as path from orders where o_orderstatus <> 'P'")(_shacl("nodeKind", ["urn:hasLine", "urn:status"], "iri"))
+query("shacl_alternative_mincount", "select 'urn:order:' || o_orderkey as focus, 'minCount' as kind, 'urn:status|urn:hasLine' as path from orders where o_orderstatus = 'P' and o_orderkey not in (select l_orderkey from lineitem)")(_shacl("minCount", ["urn:status", "urn:hasLine"], "1"))
 query("shacl_mininclusive", "select 'urn:order:' || o_orderkey as focus, 'minInclusive' as kind, 'urn:price' as path from orders where o_totalprice < 100000")(_shacl("minInclusive", ["urn:price"], "100000"))
 
 
@@ -409,11 +384,9 @@ def cardinality(spark, sf_dir):
     return O.cardinality_violations(_order_triples(spark, sf_dir), limits)
 
 
-@query("entity_catalog", "select 'urn:order:' || o_orderkey as uri, 'urn:Order' as type, o_orderkey::varchar as label, case when o_orderstatus = 'P' then cast(o_totalprice as varchar) else o_orderstatus end as state from orders")
+@query("entity_catalog", "select 'urn:order:' || o_orderkey as uri, 'urn:Order' as type, 'urn:order:' || o_orderkey as label, case when o_orderstatus = 'P' then cast(o_totalprice as varchar) else o_orderstatus end as state from orders")
 def entity_catalog(spark, sf_dir):
-    triples = _order_triples(spark, sf_dir).filter("p <> 'urn:hasLine'")
-    out = O.entity_catalog(triples, {"state": ("urn:status", "urn:price")})
-    return out.select("uri", "type", F.element_at(F.split("uri", ":"), -1).alias("label"), "state")
+    return O.entity_catalog(_order_triples(spark, sf_dir), {"state": ("urn:status", "urn:price")}).select("uri", "type", "label", "state")
 
 
 # ---- resolving and emitting
@@ -563,53 +536,35 @@ def cell_annotation(spark, sf_dir):
 
 # ---- text
 
-@query("sentences", r"select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) as n from documents where not regexp_matches(text, '(Vol|vol|e\.g|i\.e|vs|approx|ea|No|no)\.')")
-def sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(Vol|vol|e\.g|i\.e|vs|approx|ea|No|no)\."))
-    return docs.select("doc_id", F.size(C.split_sentences(F.col("text"))).cast("long").alias("n"))
-
-
 _MASKED = "text"
 for _a in ("Vol.", "vol.", "e.g.", "i.e.", "vs.", "approx.", "ea.", "No.", "no."):
-    _MASKED = f"replace({_MASKED}, {_quoted(_a)}, chr(2))"
+    _MASKED = f"replace({_MASKED}, {quoted(_a)}, chr(2))"
 
 
-@query("sentences_all", rf"select doc_id, len(list_filter(regexp_split_to_array(regexp_replace({_MASKED}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) as n from documents")
-def sentences_all(spark, sf_dir):
-    """Every document, abbreviations and all; ``sentences`` leaves out those that hold one."""
+@query("sentences", rf"select doc_id, len(list_filter(regexp_split_to_array(regexp_replace({_MASKED}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')) as n from documents")
+def sentences(spark, sf_dir):
+    """Every document, abbreviations and all."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(C.split_sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("clauses_conversations")
-def clauses_conversations(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    return T.clauses(turns).select("*", T.modality(F.col("clause")).alias("m")).select("doc_id", "sentence_no", "clause_no", "clause", "m.modality", "m.confidence")
-
-
-@query("modality", "select * from (values " + ", ".join(f"({i}, {_quoted(kind)}, {conf}::double)" for i, (_, kind, conf) in enumerate(CLAUSES)) + ") t(id, modality, confidence)")
+@query("modality", "select * from (values " + ", ".join(f"({i}, {quoted(kind)}, {conf}::double)" for i, (_, kind, conf) in enumerate(CLAUSES)) + ") t(id, modality, confidence)")
 def modality(spark, sf_dir):
     rows = spark.createDataFrame([(i, c) for i, (c, *_) in enumerate(CLAUSES)], "id int, clause string")
     return rows.select("id", T.modality(F.col("clause")).alias("m")).select("id", "m.modality", "m.confidence")
 
 
-@query("entity_counts", r"with names as (select distinct split_part(p_name, ' ', 1) as alias from part) select event_id as doc_id, 'urn:' || alias as uri, 1::bigint as n from (select event_id, event_type as text from events) join names on lower(text) = lower(alias)")
-def entity_counts(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("alias")).distinct().withColumn("uri", F.concat(F.lit("urn:"), "alias"))
-    return T.entity_counts(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text")), names)
-
-
 # Every word between chr(1) and chr(2): a whole word is then a plain substring, also beside the same word.
 _BOUNDED = r"regexp_replace(lower({}), '([\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+)', chr(1) || '\1' || chr(2), 'g')"
 
 
 @query(
-    "entity_counts_documents",
-    f"""with names(uri, alias) as (values {", ".join(f"({_quoted(u)}, {_quoted(a)})" for u, a in MENTIONS)}), asked as (select uri, {_BOUNDED.format("alias")} as alias from names),
+    "entity_counts",
+    f"""with names(uri, alias) as (values {", ".join(f"({quoted(u)}, {quoted(a)})" for u, a in MENTIONS)}), asked as (select uri, {_BOUNDED.format("alias")} as alias from names),
 texts as (select doc_id, {_BOUNDED.format("text")} as text from documents)
 select doc_id, uri, sum((length(text) - length(replace(text, alias, ''))) // length(alias))::bigint as n from texts, asked group by doc_id, uri having n > 0""",
 )
-def entity_counts_documents(spark, sf_dir):
-    """Mentions in whole documents; ``entity_counts`` meets one-word event types only, none of which is an alias."""
+def entity_counts(spark, sf_dir):
+    """Mentions in whole documents."""
     return T.entity_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.createDataFrame(MENTIONS, "uri string, alias string"))
 
 
@@ -629,13 +584,13 @@ def synth_grid(spark, sf_dir):
 
 @query(
     "triangulate",
-    """with t as (select 'urn:doc:' || doc_id as uri, 'doc ' || doc_id as label, 0.9::double as c from labels), x as (select 'urn:doc:' || doc_id as uri, 'doc ' || doc_id as label, 0.6::double as c from documents where doc_id % 3 = 0)
+    """with t as (select 'urn:doc:' || doc_id as uri, 'doc ' || doc_id as label, 0.9::double as c from labels), x as (select 'urn:doc:' || doc_id as uri, 'doc ' || doc_id as label, 0.6::double as c from documents)
 select coalesce(t.uri, x.uri) as uri, coalesce(t.label, x.label) as label, coalesce(t.c, 0) as c_tab, coalesce(x.c, 0) as c_txt, round(case when t.c is not null and x.c is not null then 1.0::double when t.c is not null then 0.9 else 0.6 end::double, 6) as c_fused,
   case when t.c is not null and x.c is not null then 'cross_modal' when t.c is not null then 'table_only' else 'text_only' end as provenance from t full join x using (uri)""",
 )
 def triangulate(spark, sf_dir):
     one = lambda d, c: d.select(F.concat(F.lit("urn:doc:"), "doc_id").alias("uri"), F.concat(F.lit("doc "), "doc_id").alias("label"), F.lit(c).alias("confidence"))
-    return U.fuse_entities(one(table(spark, sf_dir, "labels"), 0.9), one(table(spark, sf_dir, "documents").filter("doc_id % 3 = 0"), 0.6)).withColumn("c_fused", F.round("c_fused", 6))
+    return U.fuse_entities(one(table(spark, sf_dir, "labels"), 0.9), one(table(spark, sf_dir, "documents"), 0.6)).withColumn("c_fused", F.round("c_fused", 6))
 
 
 @query("corroborated_triples", "with t as (select distinct lower(n_name) as s, 'in' as p, cast(n_regionkey as varchar) as o from nation), x as (select * from t where cast(o as int) < 3) select t.s, t.p, t.o, case when x.s is null then 0.7::double else 0.8::double end as confidence, case when x.s is null then 'table_only' else 'corroborated' end as provenance from t left join x using (s, p, o)")
@@ -739,4 +694,4 @@ def entity_spans(spark, sf_dir):
     return W.entity_spans(docs, [("Spiritwood Plank", "Material"), ("Plank", "Material"), ("Ingot", "Material")])
 
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "schema_queries", "table_queries", "text_queries"]

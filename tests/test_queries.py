@@ -65,7 +65,7 @@ def _split(text):
 def test_sentences_of_every_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: len(_split(r.text)) for r in docs}
-    got = {r.doc_id: r.n for r in QUERIES["sentences_all"](spark, SF).collect()}
+    got = {r.doc_id: r.n for r in QUERIES["sentences"](spark, SF).collect()}
     assert got == want and len(got) == len(docs)
     plain = {r.doc_id: len([x for x in re.split(r"(?<=[.!?])\s+", r.text) if x.strip()]) for r in docs}
     assert sum(plain[i] > n for i, n in want.items()) > 20  # the masking does something on these texts
@@ -78,14 +78,14 @@ def test_mentions_in_whole_documents(spark):
         for uri, alias in MENTIONS:
             if n := len(re.findall(rf"(?<!\w){re.escape(alias)}(?!\w)", r.text, re.I)):
                 want[r.doc_id, uri] = want.get((r.doc_id, uri), 0) + n
-    got = {(r.doc_id, r.uri): r.n for r in QUERIES["entity_counts_documents"](spark, SF).collect()}
+    got = {(r.doc_id, r.uri): r.n for r in QUERIES["entity_counts"](spark, SF).collect()}
     assert got == want and {u for _, u in got} == {u for u, _ in MENTIONS} - {"urn:nothing"}
     assert sum(n > 1 for n in got.values()) > 100
 
 
 def test_paths_and_chains_start_from_every_customer(spark):
     n = spark.read.parquet(f"{SF}/customer.parquet").count()
-    paths = QUERIES["paths_3hop_all"](spark, SF).collect()
+    paths = QUERIES["paths_3hop"](spark, SF).collect()
     assert len(paths) == len({r.src for r in paths}) == n
-    steps = QUERIES["chain_all"](spark, SF).collect()
+    steps = QUERIES["chain"](spark, SF).collect()
     assert len(steps) == 4 * n and len({r.uri for r in steps}) == n

@@ -129,65 +129,11 @@ def probes(columns: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Rows of column-by-ontology size, held by the driver from here on: later steps plan against a table, not its history."""
-    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], _nullable(df.schema))
+    """Rows of column-by-ontology size, held by the driver from here on: later steps plan against a table, not its history.
 
-
-def _nullable(kind):
-    if isinstance(kind, StructType):
-        return StructType([StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
-    return kind
-
-
-def _asked(queries: DataFrame) -> DataFrame:
-    q = F.trim("query")
-    return queries.select("query").distinct().select("query", F.lower(q).alias("q_low"), normalize_string(q).alias("qn"), F.array_distinct(tokenize_string(q)).alias("qt"))
-
-
-def _scored(pairs: DataFrame, m: Column) -> DataFrame:
-    """(query, uri, rung, score): each pair's first rung with a score, from its best label."""
-    hits = pairs.select("query", "uri", m.alias("m")).filter("m is not null")
-    return hits.groupBy("query", "uri").agg(F.min(F.struct(F.col("m.rung").alias("rung"), (-F.col("m.score")).alias("minus"))).alias("b")).select("query", "uri", "b.rung", (-F.col("b.minus")).alias("score"))
-
-
-def score_pairs(queries: DataFrame, properties: DataFrame) -> DataFrame:
-    """queries(query) x properties -> (query, uri, rung, score), rungs 1 to 5. Text is prepared once per query and label."""
-    pairs = _asked(queries).join(F.broadcast(with_labels(properties))).withColumn("ratio", seq_ratio_udf("qn", "tn"))
-    q, t = F.col("qn"), F.col("tn")
-    fuzzy = F.when(F.col("ratio") >= 0.65, F.col("ratio") * 0.92)
-    return _scored(pairs, _best_rung((1, F.when(F.col("q_low") == F.col("low"), 0.98)), (2, F.when(q == t, 0.95)), (3, subset_score(F.col("qt"), F.col("tt"))), (4, containment_score(q, t)), (5, fuzzy)))
-
-
-def dense_pairs(queries: DataFrame, summaries: list[tuple[str, str]]) -> DataFrame:
-    """(query, uri, dense) for every query and summary (uri, text): cosine of hashed TF-IDF vectors. Both sides are small."""
-    model = HashedTfidf([t for _, t in summaries])
-    uris = [u for u, _ in summaries]
-
-    @F.pandas_udf("array<struct<uri:string,dense:double>>")
-    def run(q: pd.Series) -> pd.Series:
-        return q.map(lambda x: [{"uri": u, "dense": float(s)} for u, s in zip(uris, model.rows @ model.encode(x or ""), strict=True)])
-
-    return queries.select("query").distinct().withColumn("d", F.explode(run("query"))).select("query", "d.uri", "d.dense")
-
-
-def property_summaries(properties: DataFrame) -> list[tuple[str, str]]:
-    text = F.concat_ws(" ", "label", F.array_join("alt_labels", " "), F.coalesce("comment", F.lit("")))
-    return [tuple(r) for r in properties.select("uri", text).orderBy("uri").collect()]
-
-
-def probes(columns: DataFrame) -> DataFrame:
-    """(column_name, nth, query): the spellings a structural suffix suggests."""
-    name, found = F.trim("column_name"), F.array().cast("array<string>")
-    for suffixes, forms in SUFFIX_PROBES:
-        base = F.coalesce(*(F.when(F.upper(name).endswith(s), F.regexp_replace(F.substring(name, F.lit(1), F.length(name) - len(s)), "^[_ ]+|[_ ]+$", "")) for s in suffixes))
-        made = F.array(*(F.concat(F.lit(f.split("{}")[0]), base, F.lit(f.split("{}")[1])) for f in forms))
-        found = F.concat(found, F.when(base.isNotNull(), made).otherwise(F.array().cast("array<string>")))
-    return columns.select("column_name", F.posexplode(found).alias("nth", "query"))
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Rows of column-by-ontology size, held by the driver from here on: later steps plan against a table, not its history."""
-    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], _nullable(df.schema))
+    One partition: whatever is grouped, ranked or joined from it needs no shuffle.
+    """
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], _nullable(df.schema)).coalesce(1)
 
 
 def _nullable(kind):

@@ -241,10 +241,10 @@ def tfidf_match(spark, sf_dir):
     return R.tfidf_cosine(weights, weights).filter("a < b").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("statistical_match")
+@query("statistical_match", "select upper(p_name) as text, 'urn:part:' || min(p_partkey) as uri, 1.0::double as score from part group by p_name")
 def statistical_match(spark, sf_dir):
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id")).withColumn("uri", F.concat(F.lit("urn:part:"), "id"))
-    return R.statistical_match(table(spark, sf_dir, "part").select(F.upper("p_name").alias("text")), names)
+    return R.statistical_match(table(spark, sf_dir, "part").select(F.upper("p_name").alias("text")), names).withColumn("score", F.round("score", 9))
 
 
 # ---- ontology
@@ -364,7 +364,8 @@ query("shacl_alternative_mincount", "select 'urn:order:' || o_orderkey as focus,
 query("shacl_mininclusive", "select 'urn:order:' || o_orderkey as focus, 'minInclusive' as kind, 'urn:price' as path from orders where o_totalprice < 100000")(_shacl("minInclusive", ["urn:price"], "100000"))
 
 
-@query("relation_violations")
+@query("relation_violations", """select * from (values ('urn:o1', 'urn:trade:placedBy', 'urn:c1', false, null), ('urn:c1', 'urn:trade:placedBy', 'urn:c1', false, 'DisjointDomainViolation'), ('urn:o1', 'urn:trade:placedBy', 'Smith', true, 'ObjectPropertyRequiresURI'),
+('urn:o1', 'urn:nothing', 'x', true, 'UndefinedProperty'), ('urn:o1', 'urn:trade:placedBy', 'urn:o1', false, 'DisjointRangeViolation')) t(s, p, o, o_is_literal, violation)""")
 def relation_violations(spark, sf_dir):
     said = spark.createDataFrame([("urn:o1", "urn:trade:placedBy", "urn:c1", False), ("urn:c1", "urn:trade:placedBy", "urn:c1", False), ("urn:o1", "urn:trade:placedBy", "Smith", True), ("urn:o1", "urn:nothing", "x", True), ("urn:o1", "urn:trade:placedBy", "urn:o1", False)], "s string, p string, o string, o_is_literal boolean")
     typed = O.triples_from_rows(spark, [("urn:o1", O.RDF + "type", "urn:trade:Order"), ("urn:c1", O.RDF + "type", "urn:trade:Customer")])
@@ -487,7 +488,19 @@ def row_type_conflicts(spark, sf_dir):
     return out.filter(F.col("method").endswith("Row_Type_Conflict")).select("subject", "column_name", "method")
 
 
-@query("interpret_orders")
+# What the columns resolve to does not depend on the rows: predicates, confidences and methods are the resolution's own.
+_SEGMENTS = {"AUTOMOBILE": 0.7093, "BUILDING": 0.6971, "FURNITURE": 0.7005, "HOUSEHOLD": 0.711, "MACHINERY": 0.7074}
+
+
+@query(
+    "interpret_orders",
+    f"""with r as (select o_orderkey as row_id, cast(o_orderkey as varchar) as subject, cast(o_totalprice as varchar) as price, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as day, c_name, c_mktsegment as m from orders join customer on o_custkey = c_custkey),
+t as (select row_id, subject, 'urn:trade:orderId' as predicate, subject as object, 0.98::double as confidence, 'Stage0-Exact' as method, 'Literal Typed' as module_action, 'order_id' as column_name from r
+union all select row_id, subject, 'urn:trade:totalPrice', price, 0.95, 'Stage0-Normalised', 'Literal Typed', 'total_price' from r union all select row_id, subject, 'urn:trade:orderDate', day, 0.95, 'Stage0-Normalised', 'Literal Typed', 'order_date' from r
+union all select row_id, subject, 'urn:trade:customerName', c_name, 0.95, 'Stage0-Normalised', 'Literal Typed', 'customer_name' from r
+union all select row_id, subject, 'urn:trade:marketSegment', 'urn:trade:' || m[1] || lower(m[2:]), case m {" ".join(f"when '{k}' then {v}" for k, v in _SEGMENTS.items())} end, 'Stage0-Normalised+Concept-EmbeddingMatch', 'Deterministic Mapped', 'market_segment' from r)
+select *, false as review_flag from t""",
+)
 def interpret_orders(spark, sf_dir):
     """The flagship: a table of orders and customers against an ontology, to scored triples."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -509,17 +522,24 @@ def cpa_row_support(spark, sf_dir):
     return M.row_support(cell("order", o).unionByName(cell("customer", c)), facts)
 
 
-@query("cta_votes")
+@query(
+    "cta_votes",
+    """with p as (select 'urn:type:' || split_part(p_type, ' ', 1) as t from part), n as (select count(*) as n from p), v as (select t as uri, 0.9::double * count(*) as vote, count(*)::double / any_value(n) as support, 2 as depth, 0.0::double as sim from p, n group by t
+union all select 'urn:Thing', 0.9::double * 0.6 * n + 3, 1.0, 1, 0.1 from n), c as (select *, 0.4 * vote / max(vote) over () + 0.4 * support * (0.5 + 0.5 * depth / 2.0) + 0.2 * sim + case when uri = 'urn:Thing' then 0.25 else 0 end as raw from v),
+f as (select 'type' as col, uri, least(1.0::double, case when support < 0.5 then raw / 2 else raw end) as confidence, support as support_ratio, sim as header_similarity, depth from c)
+select col, uri, round(confidence, 9) as confidence, round(support_ratio, 9) as support_ratio, header_similarity, depth, rank from (select *, (row_number() over (order by confidence desc, support_ratio desc, depth desc, uri))::int as rank from f) where rank <= 5""",
+)
 def cta_votes(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     cands = part.select(F.col("p_partkey").alias("row_id"), F.lit("type").alias("col"), F.lit(1).alias("rank"), F.lit(0.9).alias("score"), F.array(F.concat(F.lit("urn:type:"), F.element_at(F.split("p_type", " "), 1))).alias("types"))
     kinds = part.select(F.concat(F.lit("urn:type:"), F.element_at(F.split("p_type", " "), 1)).alias("child")).distinct()
     up = kinds.withColumn("ancestor", F.lit("urn:Thing"))
     depths = kinds.select(F.col("child").alias("uri"), F.lit(2).alias("depth")).union(spark.createDataFrame([("urn:Thing", 1)], "uri string, depth int"))
-    return M.column_types(cands, up, depths, spark.createDataFrame([("type", "urn:Thing", 0.1)], "col string, uri string, sim double"))
+    out = M.column_types(cands, up, depths, spark.createDataFrame([("type", "urn:Thing", 0.1)], "col string, uri string, sim double"))
+    return out.withColumns({c: F.round(c, 9) for c in ("confidence", "support_ratio")})
 
 
-@query("mesh_solver_rows")
+@query("mesh_solver_rows", "select * from (values (1::bigint, 'step', 'urn:TheRaven', 0.75::double, 2.95::double), (1, 'mat', 'urn:Plank', 0.9, 2.95)) t(row_id, col, iri, score, row_score)")
 def mesh_solver_rows(spark, sf_dir):
     rows = [(1, "step", 1, "urn:Juvenile", ["urn:Pet"], 0.80), (1, "step", 2, "urn:TheRaven", ["urn:Precursor"], 0.75), (1, "mat", 1, "urn:Plank", ["urn:Material"], 0.90)]
     cands = spark.createDataFrame(rows, "row_id long, col string, rank int, iri string, types array<string>, score double")
@@ -534,6 +554,13 @@ def cell_annotation(spark, sf_dir):
     return M.annotate_cells(cells, entities, O.classes(trade_ontology(spark)), 3).drop("types")
 
 
+@query("cell_annotation_best", "with k as (select p_name, min(p_partkey) as k from part group by p_name) select p_partkey as row_id, '3x ' || part.p_name as value, part.p_name as cleaned, 'urn:part:' || k as iri, 1.0::double as score from part join k using (p_name)")
+def cell_annotation_best(spark, sf_dir):
+    """The best entity of every cell: its own name, once the quantity is off."""
+    found = cell_annotation(spark, sf_dir).filter("rank = 1")
+    return found.select("row_id", "value", "cleaned", "iri", F.round("score", 6).alias("score"))
+
+
 # ---- text
 
 _MASKED = "text"

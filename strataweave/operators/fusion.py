@@ -52,7 +52,7 @@ def interpretation_conflicts(mentions: DataFrame, disjoint: DataFrame, max_input
     TypeDisjointness: a cell's type is disjoint from its column's. ForgeInputs: more ingredients in a row than a forge
     takes. Quantity: a quantity that is not positive.
     """
-    apart = mentions.join(F.broadcast(disjoint), (F.col("type") == F.col("a")) & (F.col("col_type") == F.col("b")), "left_semi").select("row_id", "col", F.lit("TypeDisjointness").alias("kind"))
+    apart = mentions.join(disjoint, (F.col("type") == F.col("a")) & (F.col("col_type") == F.col("b")), "left_semi").select("row_id", "col", F.lit("TypeDisjointness").alias("kind"))
     crowded = mentions.filter("role = 'ingredient'").groupBy("row_id").agg(F.count("*").alias("n"), F.min("col").alias("col")).filter(F.col("n") > max_inputs).select("row_id", "col", F.lit("ForgeInputs").alias("kind"))
     amount = mentions.filter("quantity <= 0").select("row_id", "col", F.lit("Quantity").alias("kind"))
     return apart.unionByName(crowded).unionByName(amount)

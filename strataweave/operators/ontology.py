@@ -357,7 +357,7 @@ def cardinality_violations(facts: DataFrame, limits: DataFrame) -> DataFrame:
 def entity_catalog(triples: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row per typed individual: type, label, alt_labels, and a column per group holding the value of the group's first
     predicate that has one. ``groups`` maps a column to its predicates by priority."""
-    facts = triples.join(F.broadcast(individuals(triples).select("uri").distinct()), F.col("s") == F.col("uri"), "left_semi")
+    facts = triples.join(individuals(triples).select("uri").distinct(), F.col("s") == F.col("uri"), "left_semi")
     pick = []
     for name, predicates in groups.items():
         rank = F.coalesce(*(F.when(F.col("p") == p, F.lit(i)) for i, p in enumerate(predicates)))

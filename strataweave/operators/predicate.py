@@ -1,15 +1,18 @@
 """Column name -> ontology property: a ladder of ever weaker matches, axiom and bounds vetoes, an arbiter for near ties.
 
 Columns and properties are both small (columns of one table, properties of an ontology); they meet in one broadcast join
-scored by expressions, and every decision after it is a filter or a top-1 by (rung, score, IRI).
+scored by expressions. The few properties that have a score are decided between on the driver, by (rung, score, IRI).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -142,111 +145,187 @@ def _nullable(kind):
     return kind
 
 
+def _rounded(x: float, digits: int) -> float:
+    """Half away from zero, as the expressions round."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+def vetoed(role: str, kind: str, ranges: list[str]) -> bool:
+    """violates_axiom of plain values."""
+    every = lambda *families: any(all(r in f for r in ranges) for f in families)
+    if not ranges:
+        return False
+    if role in ("Numeric property", "Measurement value/unit pair"):
+        return kind == "ObjectProperty" or every(STRINGS, TEMPORAL, BOOLEAN)
+    return every(NUMERIC, TEMPORAL) if role in ("Categorical", "Text") else every(NUMERIC, BOOLEAN) if role == "Timestamp" else False
+
+
+def outside(lo: float | None, hi: float | None, least: float | None, most: float | None) -> bool:
+    """violates_bounds of plain values."""
+    return (lo is not None and least is not None and lo < least) or (hi is not None and most is not None and hi > most)
+
+
+def compatible(a: list[str], b: list[str]) -> bool:
+    """ranges_compatible of plain values."""
+    of_family = lambda f: any(r in f for r in a) and any(r in f for r in b)
+    return not a or not b or bool(set(a) & set(b)) or any(map(of_family, (NUMERIC, STRINGS, TEMPORAL, BOOLEAN)))
+
+
+def _tokens(text: str | None) -> list[str]:
+    """tokenize_string of plain text, each token once."""
+    text = re.sub("([a-zA-Z])([0-9])", r"\1 \2", re.sub("([0-9])([A-Za-z])", r"\1 \2", re.sub("([a-z])([A-Z])", r"\1 \2", text or "")))
+    return list(dict.fromkeys(re.findall("[a-z0-9]+", text.lower())))
+
+
+#: Nearest properties by dense similarity that an arbiter looks at, and of them in its pool.
+NEAREST, POOL = 16, 8
+
+
+@dataclass
+class _Column:
+    name: str
+    role: str
+    lo: float | None
+    hi: float | None
+
+
+class _Ladder:
+    """What one column can be: its scored properties by spelling (own name: -1, then probes), and the nearest by meaning."""
+
+    def __init__(self, column: _Column, facts: dict[str, dict], domain: str | None):
+        self.column, self.facts, self.domain = column, facts, domain
+        self.rows: list[tuple[int, str, int, float]] = []  # nth, uri, rung, score
+        self.near: list[tuple[float, str]] = []  # dense, uri
+
+    def barred(self, uri: str) -> bool:
+        return vetoed(self.column.role, self.facts[uri]["property_type"], self.facts[uri]["ranges"])
+
+    def beyond(self, uri: str) -> bool:
+        return outside(self.column.lo, self.column.hi, self.facts[uri]["min_inclusive"], self.facts[uri]["max_inclusive"])
+
+    def top(self, nth: int) -> tuple[str, float, int] | None:
+        """(uri, score, rung) of the lowest rung, its best score, the first IRI."""
+        found = min(((r, -s, u) for n, u, r, s in self.rows if n == nth and not self.barred(u)), default=None)
+        return found and (found[2], -found[1], found[0])
+
+    def candidate(self) -> tuple[str, float, int] | None:
+        """The column's own best, or a probe's that is better: the first from 0.95 on, else the best; within bounds. Else the
+        nearest by meaning that nothing rules out."""
+        own, best = self.top(-1), None
+        for nth in sorted({n for n, *_ in self.rows if n >= 0}):
+            found = self.top(nth)
+            if found and (best is None or (best[1] < 0.95 and found[1] > best[1])):
+                best = found
+        if best and (own is None or (best[1] > own[1] and not self.beyond(best[0]))):
+            own = best
+        if own and not self.beyond(own[0]):
+            return own
+        edge = max(((s, u) for n, u, r, s in self.rows if n == -1 and r == 6 and not self.barred(u) and not self.beyond(u)), default=None)
+        return edge and (edge[1], edge[0], 6)
+
+    def rivals(self, chosen: tuple[str, float, int] | None) -> tuple[list[tuple[float, str]], bool]:
+        """(score, uri) of properties from 0.40 on whose ranges go with the best one's, best first, and whether the second is within
+        0.15 of the best, or the best under 0.90."""
+        lowest: dict[str, tuple[int, float]] = {}
+        for n, u, r, s in self.rows:
+            if n == -1 and not self.barred(u) and (u not in lowest or r < lowest[u][0]):
+                lowest[u] = (r, s)
+        scores = {u: s for u, (_, s) in lowest.items()} | ({chosen[0]: chosen[1]} if chosen else {})
+        line = sorted((-s, u) for u, s in scores.items() if s >= 0.40)
+        out = [(-s, u) for s, u in line if compatible(self.facts[u]["ranges"], self.facts[line[0][1]]["ranges"])]
+        return out, len(out) > 1 and (out[1][0] >= -line[0][0] - 0.15 or -line[0][0] < 0.90)
+
+    def pool(self, rivals: list[tuple[float, str]]) -> list[dict]:
+        """What an arbiter chooses from: the rivals, then the nearest by meaning, less what roles and bounds rule out."""
+        close = sorted((-d, u) for d, u in self.near)[:NEAREST]
+        close = [(-d, u) for d, u in close if -d >= max(0.18, 0.40 * -close[0][0])]
+        line = [(s, u, True) for s, u in rivals] + [(d, u, False) for d, u in close if u not in {x for _, x in rivals}]
+        held = lambda u: not self.facts[u]["domains"] or self.domain in self.facts[u]["domains"]
+        line = [x for x in line if x[2] or self.domain is None or held(x[1])]
+        line = [x for i, x in enumerate(line) if x[2] or i < POOL]
+        return [self.facts[u] | {"column_name": self.column.name, "role": self.column.role, "arb": s + self.bonus(u)} for s, u, _ in line if not self.barred(u) and not self.beyond(u)]
+
+    def bonus(self, uri: str) -> float:
+        """0.20 for the domain (0.05 for none), 0.20 and up to 0.10 for bounds that fit closely, 0.20 and 0.15 for the share of the
+        name's words that alternative labels and the comment have."""
+        f, c = self.facts[uri], self.column
+        out = 0.05 if not f["domains"] else 0.20 if self.domain is not None and self.domain in f["domains"] else 0.0
+        if (c.lo is not None or c.hi is not None) and (f["min_inclusive"] is not None or f["max_inclusive"] is not None):
+            out += 0.20
+            if None not in (c.lo, c.hi, f["min_inclusive"], f["max_inclusive"]):
+                span, data = f["max_inclusive"] - f["min_inclusive"], c.hi - c.lo
+                out += min(0.10, 0.10 * data / span) if span > 0 and 0 <= data <= span else 0.0
+        words = _tokens(c.name)
+        share = lambda said: sum(w in said for w in words) / len(words) if words else 0.0
+        return out + 0.20 * share({t for a in f["alt_labels"] for t in _tokens(a)}) + 0.15 * share(set(_tokens(f["comment"])))
+
+
+GRADES = {"HIGH": 0.75, "MEDIUM": 0.65, "LOW": 0.55}
+RESOLVED = "column_name string, role string, uri string, label string, confidence double, method string, review_flag boolean, domains array<string>, ranges array<string>"
+
+
 def resolve(columns: DataFrame, properties: DataFrame, domain: str | None = None, arbiter: Callable[[dict, list[dict]], tuple[str, str] | None] | None = None) -> DataFrame:
     """columns(column_name, role, min_value, max_value) -> one row each: uri, label, confidence, method, review_flag, domains, ranges.
 
     ``domain`` restricts candidates to properties of that domain or none (unless that leaves none). ``arbiter`` may settle
     near ties: it gets the column and the surviving candidates and returns (uri, "HIGH" | "MEDIUM" | "LOW") or None.
+
+    Spelling is scored by Spark: columns and probes with every label. What has a score comes to the driver, a few properties
+    a column, and is decided there; the ontology's properties are held as one small table.
     """
     spark = columns.sparkSession
-    columns = small(columns.select("column_name", "role", F.col("min_value").cast("double"), F.col("max_value").cast("double")))
-    allowed = properties
-    if domain is not None:
-        inside = properties.filter((F.size("domains") == 0) | F.array_contains("domains", domain))
-        allowed = inside if inside.limit(1).count() else properties
-    allowed = small(allowed)
-    summaries = property_summaries(properties)
-    asked = small(columns.select("column_name", F.lit(-1).alias("nth"), F.col("column_name").alias("query")).unionByName(probes(columns)))
-    scored = small(score_pairs(asked, allowed))
-    dense = small(dense_pairs(asked, summaries))
-
-    # The ladder: per query the lowest rung, its best score, the first IRI; dense similarity is the last rung.
-    rows = scored.unionByName(dense.filter("dense >= 0.40").join(F.broadcast(allowed.select("uri")), "uri", "left_semi").select("query", "uri", F.lit(6).alias("rung"), F.round("dense", 4).alias("score")))
-    facts = allowed.select("uri", "label", "property_type", "domains", "ranges", "min_inclusive", "max_inclusive", "alt_labels", "comment")
-    pairs = asked.join(columns, "column_name").join(rows, "query").join(F.broadcast(facts), "uri")
-    pairs = pairs.withColumn("vetoed", violates_axiom(F.col("role"), F.col("property_type"), F.col("ranges")))
-    pairs = small(pairs.withColumn("out_of_bounds", violates_bounds(F.col("min_value"), F.col("max_value"), F.col("min_inclusive"), F.col("max_inclusive"))))
-    climbed = Window.partitionBy("column_name", "nth").orderBy("rung", F.col("score").desc(), "uri")
-    ladder = pairs.filter("not vetoed").withColumn("_r", F.row_number().over(climbed)).filter("_r = 1").drop("_r")
-    own = ladder.filter("nth = -1").select("column_name", F.struct("uri", "score", "rung", "out_of_bounds").alias("own"))
-    strong = F.col("score") >= 0.95
-    first = Window.partitionBy("column_name").orderBy(strong.desc(), F.when(strong, 0.0).otherwise(-F.col("score")), "nth")
-    probed = ladder.filter("nth >= 0").withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("column_name", F.struct("uri", "score", "rung", "out_of_bounds").alias("probe"))
-    chosen = columns.join(own, "column_name", "left").join(probed, "column_name", "left")
-    takes = F.col("probe").isNotNull() & (F.col("own").isNull() | ((F.col("probe.score") > F.col("own.score")) & ~F.col("probe.out_of_bounds")))
-    chosen = chosen.withColumn("cand", F.when(takes, F.col("probe")).otherwise(F.col("own"))).withColumn("cand", F.when(~F.col("cand.out_of_bounds"), F.col("cand")))
-    edge = pairs.filter("nth = -1 and rung = 6 and not vetoed and not out_of_bounds").groupBy("column_name").agg(F.max_by(F.struct("uri", "score", "rung", "out_of_bounds"), F.struct("score", "uri")).alias("edge"))
-    chosen = small(chosen.join(edge, "column_name", "left").withColumn("cand", F.coalesce("cand", "edge")).select("column_name", "role", "min_value", "max_value", "cand"))
-
-    # Competitors of one range within 0.15 of the best, or any while the best is under 0.90, call the arbiter.
-    base = pairs.filter("nth = -1 and not vetoed").groupBy("column_name", "uri").agg(F.min_by("score", "rung").alias("score"))
-    held = chosen.filter("cand is not null").select("column_name", F.col("cand.uri").alias("uri"), F.col("cand.score").alias("held"))
-    viable = base.join(held, ["column_name", "uri"], "full").select("column_name", "uri", F.coalesce("held", "score").alias("score")).filter("score >= 0.40").join(F.broadcast(facts), "uri")
-    rank = Window.partitionBy("column_name").orderBy(F.col("score").desc(), "uri")
-    viable = viable.withColumn("top_ranges", F.first("ranges").over(rank)).withColumn("top", F.max("score").over(Window.partitionBy("column_name")))
-    rivals = small(viable.filter(ranges_compatible(F.col("ranges"), F.col("top_ranges"))).withColumn("_r", F.row_number().over(rank)))
-    called = rivals.filter("_r = 2 and (score >= top - 0.15 or top < 0.90)").select("column_name", F.lit(True).alias("called"))
-    chosen = chosen.join(called, "column_name", "left").withColumn("called", F.coalesce("called", F.lit(False)))
-    weak = F.col("cand").isNull() | (F.col("cand.rung") == 6) | F.col("cand.score").between(0.40, 0.65)
-    chosen = small(chosen.withColumn("arbitrated", weak | F.col("called")))
-
-    # Pool: the competitors, then the nearest of 16 by dense similarity, eight in all.
-    open_ = chosen.filter("arbitrated").select("column_name", "role", "min_value", "max_value", "called")
-    by_dense = Window.partitionBy("query").orderBy(F.col("dense").desc(), "uri")
-    near = dense.withColumn("_n", F.row_number().over(by_dense)).filter("_n <= 16").withColumn("best", F.max("dense").over(Window.partitionBy("query"))).filter("dense >= greatest(0.18, 0.40 * best)")
-    near = near.select(F.col("query").alias("column_name"), "uri", F.col("dense").alias("score"), F.lit(2).alias("pool"), "_n")
-    pool = rivals.join(open_.filter("called").select("column_name"), "column_name", "left_semi").select("column_name", "uri", "score", F.lit(1).alias("pool"), F.col("_r").alias("_n")).unionByName(near)
-    fits = properties.select(*facts.columns)
-    pool = pool.groupBy("column_name", "uri").agg(F.min_by(F.struct("score", "pool", "_n"), F.struct("pool", "_n")).alias("x")).select("column_name", "uri", "x.*").join(open_, "column_name").join(F.broadcast(fits), "uri")
-    if domain is not None:
-        pool = pool.filter((F.col("pool") == 1) | (F.size("domains") == 0) | F.array_contains("domains", domain))
-    pool = pool.withColumn("_k", F.row_number().over(Window.partitionBy("column_name").orderBy("pool", "_n"))).filter("pool = 1 or _k <= 8")
-    left = pool.filter(~violates_axiom(F.col("role"), F.col("property_type"), F.col("ranges")) & ~violates_bounds(F.col("min_value"), F.col("max_value"), F.col("min_inclusive"), F.col("max_inclusive")))
-    words = F.array_distinct(tokenize_string(F.col("column_name")))
-    alts = F.array_distinct(F.flatten(F.transform("alt_labels", tokenize_string)))
-    said = F.array_distinct(tokenize_string(F.coalesce("comment", F.lit(""))))
-    share = lambda ts: F.when(F.size(words) > 0, F.size(F.array_intersect(words, ts)) / F.size(words)).otherwise(0.0)
-    fits_domain = F.when(F.size("domains") == 0, 0.05).when(F.array_contains("domains", domain) if domain is not None else F.lit(False), 0.20).otherwise(0.0)
-    span, data = F.col("max_inclusive") - F.col("min_inclusive"), F.col("max_value") - F.col("min_value")
-    tight = F.when((span > 0) & (data >= 0) & (data <= span), F.least(F.lit(0.10), 0.10 * data / span)).otherwise(0.0)
-    has_bounds = (F.col("min_value").isNotNull() | F.col("max_value").isNotNull()) & (F.col("min_inclusive").isNotNull() | F.col("max_inclusive").isNotNull())
-    left = small(left.withColumn("arb", F.col("score") + fits_domain + F.when(has_bounds, 0.20 + F.coalesce(tight, F.lit(0.0))).otherwise(0.0) + 0.20 * share(alts) + 0.15 * share(said)))
-    best = Window.partitionBy("column_name").orderBy(F.col("arb").desc(), "uri")
-    judged = left.withColumn("_r", F.row_number().over(best)).withColumn("n", F.count("*").over(Window.partitionBy("column_name"))).filter("_r = 1")
-    judged = judged.select("column_name", F.col("uri").alias("j_uri"), F.when(F.col("n") == 1, 0.66).otherwise(F.least(F.lit(0.85), F.greatest(F.lit(0.65), F.round("arb", 2)))).alias("j_conf"), F.when(F.col("n") == 1, "AxiomFilter-Unique").otherwise("Arbiter-Reranked").alias("j_method"), (F.col("n") > 1).alias("j_review"))
+    asked_of = columns.select("column_name", F.lit(-1).alias("nth"), F.col("column_name").alias("query")).unionByName(probes(columns))
+    table = [_Column(r[0], r[1], r[2], r[3]) for r in columns.select("column_name", "role", F.col("min_value").cast("double"), F.col("max_value").cast("double")).collect()]
+    facts = {r.uri: r.asDict() for r in properties.collect()}
+    inside = {u for u, f in facts.items() if not f["domains"] or domain in f["domains"]} if domain is not None else set()
+    allowed = inside or set(facts)
+    asked = [(r.column_name, r.nth, r.query) for r in asked_of.collect()]
+    queries = small(spark.createDataFrame([(q,) for q in sorted({q for *_, q in asked if q is not None})], "query string"))
+    scored: dict[str, list[tuple[str, int, float]]] = {}
+    for r in score_pairs(queries, properties.filter(F.col("uri").isin(sorted(allowed))) if inside else properties).collect():
+        scored.setdefault(r.query, []).append((r.uri, r.rung, r.score))
+    # The last rung is dense similarity, over summaries of all properties.
+    summary = lambda f: " ".join(x for x in (f["label"], " ".join(f["alt_labels"]), f["comment"] or "") if x is not None)
+    uris = sorted(facts)
+    model = HashedTfidf([summary(facts[u]) for u in uris])
+    ladders = {c.name: _Ladder(c, facts, domain) for c in table}
+    for name, nth, query in asked:
+        near = [(float(d), u) for d, u in zip(model.rows @ model.encode(query or ""), uris, strict=True)] if uris else []
+        ladder = ladders[name]
+        ladder.rows += [(nth, *x) for x in scored.get(query, [])] + [(nth, u, 6, _rounded(d, 4)) for d, u in near if d >= 0.40 and u in allowed]
+        if nth == -1:
+            ladder.near = near
+    out = []
+    for c in table:
+        ladder = ladders[c.name]
+        chosen = ladder.candidate()
+        rivals, called = ladder.rivals(chosen)
+        weak = chosen is None or chosen[2] == 6 or 0.40 <= chosen[1] <= 0.65
+        judged = _judged(ladder.pool(rivals if called else []), arbiter) if weak or called else None
+        if judged is not None:
+            uri, conf, method, review = judged
+        elif chosen is not None:
+            uri, conf, method = chosen[0], chosen[1], METHODS[chosen[2]]
+            review = weak or called or (chosen[2] in (3, 5) and conf < 0.70)
+        else:
+            uri, conf, method, review = UNMAPPED, 0.30, "Unmapped", True
+        f = facts.get(uri, {})
+        out.append((c.name, c.role, uri, f.get("label") or c.name, conf, method, review, f.get("domains") or [], f.get("ranges") or []))
+    return spark.createDataFrame(out, RESOLVED).coalesce(1)
+
+
+def _judged(pool: list[dict], arbiter) -> tuple[str, float, str, bool] | None:
+    """(uri, confidence, method, review) of the only survivor, the arbiter's choice among several, or the one that scores best."""
+    if not pool:
+        return None
+    line = sorted(pool, key=lambda f: (-f["arb"], f["uri"]))
+    if len(line) == 1:
+        return line[0]["uri"], 0.66, "AxiomFilter-Unique", False
     if arbiter is not None:
-        judged = _ask(arbiter, judged, left, spark)
-
-    methods = F.create_map(*(F.lit(x) for kv in METHODS.items() for x in kv))
-    out = chosen.join(judged, "column_name", "left")
-    mine = F.col("arbitrated") & F.col("j_uri").isNotNull()
-    out = out.select(
-        "column_name", "role",
-        F.when(mine, F.col("j_uri")).otherwise(F.coalesce("cand.uri", F.lit(UNMAPPED))).alias("uri"),
-        F.when(mine, F.col("j_conf")).otherwise(F.coalesce("cand.score", F.lit(0.30))).alias("confidence"),
-        F.when(mine, F.col("j_method")).otherwise(F.coalesce(methods[F.col("cand.rung")], F.lit("Unmapped"))).alias("method"),
-        F.when(mine, F.col("j_review")).otherwise(F.col("arbitrated") | ((F.col("cand.rung").isin(3, 5)) & (F.col("cand.score") < 0.70)) | (F.col("cand.rung") == 6)).alias("review_flag"),
-    )
-    out = out.join(F.broadcast(properties.select("uri", "label", "domains", "ranges")), "uri", "left")
-    empty = F.array().cast("array<string>")
-    return out.select("column_name", "role", "uri", F.coalesce("label", "column_name").alias("label"), "confidence", "method", "review_flag", F.coalesce("domains", empty).alias("domains"), F.coalesce("ranges", empty).alias("ranges"))
-
-
-def _ask(arbiter, judged: DataFrame, left: DataFrame, spark) -> DataFrame:
-    """Let a callable settle the columns with two or more survivors; a few rows, on the driver, never per cell."""
-    tied: dict[str, list[dict]] = {}
-    for r in left.select("column_name", "role", "uri", "label", "comment", "arb").orderBy("column_name", F.col("arb").desc(), "uri").collect():
-        tied.setdefault(r.column_name, []).append(r.asDict())
-    grades = {"HIGH": 0.75, "MEDIUM": 0.65, "LOW": 0.55}
-    said = []
-    for name, candidates in tied.items():
-        answer = arbiter({"column_name": name, "role": candidates[0]["role"]}, candidates) if len(candidates) > 1 else None
-        if answer is not None:
-            said.append((name, answer[0], grades.get(answer[1], 0.55)))
-    if not said:
-        return judged
-    told = spark.createDataFrame(said, "column_name string, uri string, conf double").select("column_name", F.col("uri").alias("j_uri"), F.col("conf").alias("j_conf"), F.lit("LLM-Reranked").alias("j_method"), F.lit(True).alias("j_review"))
-    return judged.join(told, "column_name", "left_anti").unionByName(told)
+        said = arbiter({"column_name": line[0]["column_name"], "role": line[0]["role"]}, line)
+        if said is not None:
+            return said[0], GRADES.get(said[1], 0.55), "LLM-Reranked", True
+    return line[0]["uri"], min(0.85, max(0.65, _rounded(line[0]["arb"], 2))), "Arbiter-Reranked", True
 
 
 def concept_matches(values: DataFrame, classes: DataFrame, ranges: DataFrame | None = None) -> DataFrame:

@@ -18,14 +18,14 @@ ALPHA, BETA = 0.6, 0.4
 def hybrid_search(queries: DataFrame, entities: DataFrame, top_k: int = 10, type_filter: str | None = None, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
     """queries(query) x entities(iri, label, aliases, types) -> (query, rank, iri, label, types, score, dense_score, lexical_score).
 
-    Equal normalised spelling gives 0.95 at least. Queries are made distinct, the entities are the broadcast side, and the
-    best ``top_k`` of a query are picked by a ranked window that prunes before its shuffle.
+    Equal normalised spelling gives 0.95 at least. Every distinct query is scored against every entity: entities are a
+    dimension, broadcast if their counted rows allow it. The best ``top_k`` of a query are picked by a ranked window that prunes before its shuffle.
     """
     if type_filter is not None:
         entities = entities.filter(F.exists("types", lambda t: F.lower(t).contains(type_filter.lower())))
     asked = queries.select("query").distinct().filter(F.trim("query") != "").withColumn("q_vec", hash_embed_udf("query"))
     known = entities.select("iri", "label", "aliases", "types").withColumn("e_vec", hash_embed_udf("label")).withColumn("target", F.explode(F.array_distinct(F.concat(F.array("label"), "aliases"))))
-    pairs = asked.join(F.broadcast(known)).withColumn("lex", lexical_score(F.col("query"), F.col("target")))
+    pairs = asked.crossJoin(dimension(known)).withColumn("lex", lexical_score(F.col("query"), F.col("target")))
     same = normalize_leet(F.col("query")) == normalize_leet(F.col("target"))
     best = pairs.groupBy("query", "iri", "label", "types", "q_vec", "e_vec").agg(F.max("lex").alias("lexical_score"), F.max(same).alias("same"))
     near = cosine(F.col("q_vec"), F.col("e_vec"))
@@ -37,15 +37,36 @@ def hybrid_search(queries: DataFrame, entities: DataFrame, top_k: int = 10, type
     return best.select("query", "rank", "iri", "label", "types", "score", "dense_score", "lexical_score")
 
 
+#: Queries whose vectors a task holds at once, and rows of a dimension that may be broadcast.
+QUERY_BLOCK, DIMENSION = 4096, 2_000_000
+
+
+def dimension(df: DataFrame) -> DataFrame:
+    """A dimension marked for broadcast if its counted rows allow it; a larger one is left to a shuffled product."""
+    return F.broadcast(df) if df.count() <= DIMENSION else df
+
+
 def knn(vectors: DataFrame, queries: DataFrame, top_k: int = 10, where: str | None = None) -> DataFrame:
     """Exact k nearest by cosine: vectors(id, vec), queries(qid, qvec) -> (qid, rank, id, score), ties by id.
 
-    The filter runs before scoring. Queries are the broadcast side (a stated, bounded query set). Each task multiplies
-    blocks of vectors with all queries and keeps its best ``top_k`` per query; only those are shuffled and ranked.
+    The filter runs before scoring. Queries go out in blocks of about QUERY_BLOCK, each with a scan of its own: a task
+    multiplies batches of vectors with one block and keeps its best ``top_k`` per query; only those are shuffled and
+    ranked. What the driver and a task hold does not grow with the number of queries.
     """
     if where is not None:
         vectors = vectors.filter(where)
-    asked = queries.select("qid", "qvec").orderBy("qid").collect()
+    vectors, queries = vectors.select("id", "vec"), queries.select("qid", "qvec")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    best = None
+    for i in range(blocks):
+        found = vectors.mapInPandas(_nearest_of(queries.filter(own == i).orderBy("qid").collect(), top_k), "qid long, id long, score double")
+        best = found if best is None else best.unionByName(found)
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("qid", "rank", "id", "score")
+
+
+def _nearest_of(asked: list, top_k: int):
     qids = [r.qid for r in asked]
     block = np.array([r.qvec for r in asked], np.float64).reshape(len(asked), -1)
     norms = np.linalg.norm(block, axis=1, keepdims=True)
@@ -63,9 +84,7 @@ def knn(vectors: DataFrame, queries: DataFrame, top_k: int = 10, where: str | No
                 at = np.lexsort((ids, -scores[i]))[:top_k]
                 yield pd.DataFrame({"qid": qid, "id": ids[at], "score": np.clip(scores[i][at], -1.0, 1.0)})
 
-    best = vectors.select("id", "vec").mapInPandas(run, "qid long, id long, score double")
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("qid", "rank", "id", "score")
+    return run
 
 
 def tfidf_weights(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
@@ -91,7 +110,7 @@ def statistical_match(mentions: DataFrame, vocabulary: DataFrame, least: float =
     skip = F.lower(F.trim("text")).isin("false", "true", "n", "y", "-", "n/a", "none", "null", "") | F.trim("text").rlike("^[0-9]+$") | (F.length(F.trim("text")) > 80)
     asked = mentions.select(F.trim("text").alias("text")).distinct().filter(~skip).withColumn("id", F.xxhash64("text"))
     cos = tfidf_cosine(tfidf_weights(asked, vocabulary), tfidf_weights(vocabulary.select("id", "text")))
-    pairs = asked.join(F.broadcast(vocabulary.select(F.col("id").alias("b"), F.col("text").alias("label"), "uri")))
+    pairs = asked.crossJoin(dimension(vocabulary.select(F.col("id").alias("b"), F.col("text").alias("label"), "uri")))
     pairs = pairs.join(cos.withColumnRenamed("a", "id"), ["id", "b"], "left")
     x, y = char_ngrams(F.col("text")), char_ngrams(F.col("label"))
     jac = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))

@@ -75,7 +75,7 @@ def entity_counts(docs: DataFrame, aliases: DataFrame, key: str = "doc_id", text
     word = r"(?U)[\p{L}\p{N}]+"
     first = aliases.withColumn("token", F.lower(F.regexp_extract("alias", word, 0))).filter("token <> ''")
     held = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(word), F.lit(0)))).alias("token"))
-    pairs = held.join(F.broadcast(first), "token").select(key, "uri", "alias").distinct()
+    pairs = held.join(first, "token").select(key, "uri", "alias").distinct()
     quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.col("alias"), F.lit(r"\E(?!\w)"))
     met = pairs.join(docs.select(key, text), key).withColumn("n", F.regexp_count(F.col(text), quoted))
     return met.groupBy(key, "uri").agg(F.sum("n").alias("n")).filter("n > 0")

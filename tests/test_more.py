@@ -197,6 +197,34 @@ def test_components_stop_at_their_depth_and_at_cycles(spark):
     assert sorted((r.component, r.distance) for r in made) == [(f"urn:{i}", i) for i in (1, 2, 3, 4)]
 
 
+def test_vetoes_of_values_and_of_columns_agree(spark):
+    from strataweave.operators import predicate as P
+
+    rng = random.Random(6)
+    roles = ["Numeric property", "Measurement value/unit pair", "Categorical", "Text", "Timestamp", "Entity ID"]
+    ranges = lambda: [rng.choice(["urn:C", *(O.XSD + x for x in ("string", "double", "integer", "date", "boolean"))]) for _ in range(rng.randint(0, 3))]
+    number = lambda: rng.choice([None, 0.0, 5.0, 9.0])
+    rows = [(i, rng.choice(roles), rng.choice(["ObjectProperty", "DatatypeProperty"]), ranges(), ranges(), number(), number(), number(), number()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, role string, kind string, a array<string>, b array<string>, lo double, hi double, least double, most double")
+    c = F.col
+    got = df.select("id", P.violates_axiom(c("role"), c("kind"), c("a")).alias("v"), P.ranges_compatible(c("a"), c("b")).alias("r"), P.violates_bounds(c("lo"), c("hi"), c("least"), c("most")).alias("o"))
+    assert {r.id: (r.v, r.r, r.o) for r in got.collect()} == {i: (P.vetoed(role, kind, a), P.compatible(a, b), P.outside(lo, hi, least, most)) for i, role, kind, a, b, lo, hi, least, most in rows}
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    from strataweave.operators import retrieval as R
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 6))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    asked = vectors.filter("id < 20").selectExpr("id as qid", "vec as qvec")
+    whole = {(r.qid, r.rank): r.id for r in R.knn(vectors, asked, 4).collect()}
+    monkeypatch.setattr(R, "QUERY_BLOCK", 6)
+    assert {(r.qid, r.rank): r.id for r in R.knn(vectors, asked, 4).collect()} == whole
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert whole == {(q, k + 1): int(i) for q in range(20) for k, i in enumerate(np.argsort(-(u[q] @ u.T))[:4])}
+
+
 # ---- discourse
 
 

@@ -3,12 +3,13 @@
 Each text becomes a vector of transformed statistics. Per language and source, whatever the group's size, a
 minimum-covariance-determinant estimate is found by concentration steps: from four deterministic starts, take the share of
 texts nearest by Mahalanobis distance, estimate mean and covariance anew, repeat. After a few steps the two starts with
-the smallest determinants go on until neither changes; the smaller determinant wins and is reweighted. A text far from
-its group's centre is rejected. The variance added to every statistic stands in for what a small group cannot show: of a
+the smallest determinants go on, each as long as its determinant falls; the smaller one wins and is reweighted. A text far
+from its group's centre is rejected. The variance added to every statistic stands in for what a small group cannot show: of a
 group of one or two texts none is rejected unless they lie far apart.
 
 Vectors are held as whole multiples of 1/4096 and moments as decimal sums, so a rerun or another partitioning gives the
-same estimates to the last bit. Order statistics come from counts per distance bin, never from a sort of a group.
+same estimates to the last bit. Order statistics come from counts per distance bin, never from a sort of a group, and a
+step is one pass: moments are summed per bin, and the bins that hold the nearest texts are added up.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ FEATURES = ("x0", "x1", "x2", "x3", "x4")
 SCALE = 4096
 #: Share of a group that a concentration step keeps, and steps taken from every start before the best BEST go on.
 KEPT_SHARE, STEPS, BEST = 0.75, 2, 2
-#: Determinants fall from step to step, so the steps end by themselves; distances are told by bins, which could make the
-#: last ones alternate, hence a bound far beyond the steps ever needed.
-MOST_STEPS = 60
+#: A determinant that falls by less than this (its logarithm) is taken to stand.
+STILL = 1e-6
 #: chi-square(5): consistency factors of the 0.75 and 0.975 shares, and the 0.975 quantile that reweighting uses.
 CONSISTENCY, NEAR, NEAR_FACTOR = 1.3877, 12.8325, 1.0527
 #: Squared distance beyond which a text is rejected. Statistics of prose have heavier tails than a normal law.
@@ -76,14 +76,17 @@ def feature_vector() -> list[Column]:
 _PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Per group and start: centre m0..m4 and the Cholesky factor l00..l44 of factor * covariance + FLOOR, and its log determinant."""
-    exact = lambda x: F.sum(x.cast("decimal(20,0)")).cast("double")
-    sums = [exact(F.col(x)).alias(f"s{i}") for i, x in enumerate(FEATURES)]
-    sums += [exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]
-    out = rows.groupBy("grp", "start").agg(F.count("*").alias("n"), *sums)
-    centre = [(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(5)]
-    out = out.select("grp", "start", *centre, *((F.col(f"s{i}{j}") / F.col("n") / (SCALE * SCALE)).alias(f"q{i}{j}") for i, j in _PAIRS))
+def _sums() -> list[Column]:
+    """Exact sums of the statistics and of their products."""
+    exact = lambda x: F.sum(x.cast("decimal(20,0)"))
+    return [F.count("*").alias("n"), *(exact(F.col(x)).alias(f"s{i}") for i, x in enumerate(FEATURES)), *(exact(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS)]
+
+
+def _estimate(sums: DataFrame, factor: float) -> DataFrame:
+    """Per group and start of _sums: centre m0..m4, the Cholesky factor l00..l44 of factor * covariance + FLOOR, and its log determinant."""
+    value = lambda x: F.col(x).cast("double")
+    centre = [(value(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(5)]
+    out = sums.select("grp", "start", *centre, *((value(f"s{i}{j}") / F.col("n") / (SCALE * SCALE)).alias(f"q{i}{j}") for i, j in _PAIRS))
     cov = [(F.greatest(F.lit(0.0) if i == j else F.lit(float("-inf")), F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (FLOOR if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
     out = out.select("grp", "start", *(f"m{i}" for i in range(5)), *cov)
     for i in range(5):
@@ -94,6 +97,10 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return out.withColumn("logdet", logdet).drop(*(f"c{i}{j}" for i, j in _PAIRS))
 
 
+def _moments(rows: DataFrame, factor: float) -> DataFrame:
+    return _estimate(rows.groupBy("grp", "start").agg(*_sums()), factor)
+
+
 def _with_distance(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
     """Squared Mahalanobis distance d2 of each row to its group's estimate, by forward substitution."""
     out = rows.join(smaller(estimate, 250), keys)
@@ -104,14 +111,15 @@ def _with_distance(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> Dat
     return out.withColumn("d2", d2).drop(*(c for c in estimate.columns if c[0] in "ml" and c[1:].isdigit()), *(f"y{i}" for i in range(5)))
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """Of each group and start, the rows in the nearest distance bins that together hold KEPT_SHARE of it."""
-    rows = rows.withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_UNIT).cast("int"))
-    bins = rows.groupBy("grp", "start", "bin").count()
-    up_to = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("under", F.coalesce(F.sum("count").over(up_to), F.lit(0))).withColumn("all", F.sum("count").over(Window.partitionBy("grp", "start")))
-    last = bins.filter(F.col("under") < F.ceil(F.col("all") * KEPT_SHARE)).groupBy("grp", "start").agg(F.max("bin").alias("last"))
-    return rows.join(smaller(materialize(last, "mcd-last"), 60), ["grp", "start"]).filter("bin <= last")
+def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """A concentration step: of each group and start, the estimate of the nearest distance bins that together hold KEPT_SHARE of it."""
+    met = _with_distance(rows, estimate.drop("logdet"), ["grp"]).withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_UNIT).cast("int"))
+    bins = met.groupBy("grp", "start", "bin").agg(*_sums())
+    whole = Window.partitionBy("grp", "start")
+    under = F.coalesce(F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("under", under).withColumn("all", F.sum("n").over(whole)).filter(F.col("under") < F.ceil(F.col("all") * KEPT_SHARE))
+    sums = bins.groupBy("grp", "start").agg(*(F.sum(c).alias(c) for c in bins.columns if c == "n" or c[0] == "s" and c[1:].isdigit()))
+    return materialize(_estimate(sums, CONSISTENCY), "mcd-step")
 
 
 #: Centre and spread of a start as ranks of a group's values: of all values, by the middle half, and by the lower part
@@ -133,22 +141,21 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """grp, x0..x4 (materialised) -> one reweighted MCD estimate per group."""
-    estimate = _starts(rows)
     every = rows.select("grp", *FEATURES)
+    moving = _starts(rows)
+    for _ in range(STEPS):
+        moving = _concentrated(every, moving)
     rank = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))  # four rows a group
-    for step in range(MOST_STEPS):
-        # A group's rows meet each start that is left of it.
-        met = _with_distance(every, estimate.drop("logdet"), ["grp"])
-        new = materialize(_moments(_nearest(met), CONSISTENCY), "mcd-step")
-        if step == STEPS - 1:
-            new = materialize(new.withColumn("_r", rank).filter(F.col("_r") <= BEST).drop("_r"), "mcd-best")
-        elif step >= STEPS:
-            old = estimate.select("grp", "start", F.col("logdet").alias("_was"))
-            moved = new.join(smaller(old, 60), ["grp", "start"]).filter(F.abs(F.col("logdet") - F.col("_was")) > 1e-9)
-            if not moved.limit(1).count():
-                break
-        estimate = new
-    best = materialize(estimate.withColumn("_r", rank).filter("_r = 1").drop("_r", "logdet", "start"), "mcd-best")
+    moving = materialize(moving.withColumn("_r", rank).filter(F.col("_r") <= BEST).drop("_r"), "mcd-moving")
+    found = moving
+    while True:
+        # Only starts whose determinant still falls go on; it is bounded by FLOOR, so they all stop.
+        was = smaller(moving.select("grp", "start", F.col("logdet").alias("_was")), 60)
+        moving = materialize(_concentrated(every, moving).join(was, ["grp", "start"]).filter(F.col("logdet") < F.col("_was") - STILL).drop("_was"), "mcd-moving")
+        if not moving.limit(1).count():
+            break
+        found = materialize(found.join(smaller(moving.select("grp", "start"), 60), ["grp", "start"], "left_anti").unionByName(moving), "mcd-found")
+    best = materialize(found.withColumn("_r", rank).filter("_r = 1").drop("_r", "logdet", "start"), "mcd-best")
     near = _with_distance(rows, best, ["grp"]).filter(F.col("d2") <= NEAR).withColumn("start", F.lit("near"))
     return materialize(_moments(near, NEAR_FACTOR).drop("logdet", "start"), "mcd-final")
 

@@ -84,21 +84,17 @@ def emit(table: DataFrame, row_id: str, columns: DataFrame, predicates: DataFram
     filled = lambda c: F.when(text[c] != "", text[c])
     anchors_map = F.create_map(*(x for c in names for x in (F.lit(c), filled(c))))
     subject = F.concat(F.lit("Row-"), F.col(row_id).cast("string"))
-    wide = table.withColumn("_subject", subject if primary is None else F.coalesce(filled(primary), subject)).withColumn("_of", anchors_map)
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), text[c].alias("value")) for c in names)))
-    long = wide.select(F.col(row_id).alias("row_id"), "_subject", "_of", pairs.alias("c")).select("row_id", "_subject", "_of", "c.*")
-    long = long.filter(~F.lower("value").isin("", "nan", "none", "null")).join(F.broadcast(context), "column_name")
-    # Which columns of this row clash: pairs of columns whose domains are declared disjoint, both filled and on the row's subject.
+    # Which columns of a row clash: pairs of columns whose domains are declared disjoint, both filled and on the row's subject.
     cols = context.filter("anchor is null").select("column_name", F.explode("domains").alias("d"))
     clash = cols.join(disjoint, F.col("d") == F.col("a")).join(cols.select(F.col("column_name").alias("other"), F.col("d").alias("d2")), F.col("b") == F.col("d2")).filter("column_name <> other")
     clashes = sorted({tuple(r) for r in clash.select("column_name", "other").distinct().collect()})  # pairs of columns: bounded by the table's width
     missing = lambda c: F.coalesce(F.lower(text[c]).isin("", "nan", "none", "null"), F.lit(True))
-    if clashes:
-        rivals = F.array_compact(F.array(*(F.when(~missing(a) & ~missing(b), F.lit(a)) for a, b in clashes)))
-        long = long.join(wide.select(F.col(row_id).alias("row_id"), rivals.alias("_clash")).filter(F.size("_clash") > 0), "row_id", "left")
-        clashing = F.coalesce(F.array_contains("_clash", F.col("column_name")), F.lit(False))
-    else:
-        clashing = F.lit(False)
+    rivals = F.array_compact(F.array(*(F.when(~missing(a) & ~missing(b), F.lit(a)) for a, b in clashes))) if clashes else F.array().cast("array<string>")
+    wide = table.withColumn("_subject", subject if primary is None else F.coalesce(filled(primary), subject)).withColumn("_of", anchors_map).withColumn("_clash", rivals)
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), text[c].alias("value")) for c in names)))
+    long = wide.select(F.col(row_id).alias("row_id"), "_subject", "_of", "_clash", pairs.alias("c")).select("row_id", "_subject", "_of", "_clash", "c.*")
+    long = long.filter(~F.lower("value").isin("", "nan", "none", "null")).join(F.broadcast(context), "column_name")
+    clashing = F.array_contains("_clash", F.col("column_name"))
     found = concepts.select(F.col("value"), F.col("uri").alias("c_uri"), F.col("confidence").alias("c_conf"), F.col("method").alias("c_method"))
     open_value = F.when(~is_literal(F.col("value"), F.col("role"), F.col("ranges")), F.col("value"))
     long = long.withColumn("_open", open_value).join(found.withColumnRenamed("value", "_open"), "_open", "left")

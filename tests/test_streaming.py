@@ -25,3 +25,26 @@ def test_profile_batches(spark, tmp_path):
     q.stop()
     assert [(r.column_name, r.cardinality) for r in seen] == [("a", 5)]
     assert column_stats(spark.range(5).selectExpr("cast(id as string) as a")).first().cardinality == 5
+
+
+def test_emitted_stream_equals_the_batch(spark, tmp_path):
+    """Columns of disjoint domains clash in a row; the stream needs no join with itself to tell."""
+    from strataweave.operators import emit as E
+    from strataweave.plans.interpret import Context
+
+    rows = [(i, f"r{i}", None if i % 3 else "x", "F" if i % 2 else "O") for i in range(20)]
+    spark.createDataFrame(rows, "_row long, id string, a string, b string").write.parquet(str(tmp_path / "in"))
+    columns = spark.createDataFrame([(0, "id", "Entity ID"), (1, "a", "Text"), (2, "b", "Categorical")], "ordinal int, column_name string, role string")
+    facts = [(c, r, f"urn:{c}", c, 0.9, "Stage0-Exact", False, d, []) for c, r, d in (("id", "Entity ID", []), ("a", "Text", ["urn:A"]), ("b", "Categorical", ["urn:B"]))]
+    predicates = spark.createDataFrame(facts, "column_name string, role string, uri string, label string, confidence double, method string, review_flag boolean, domains array<string>, ranges array<string>")
+    context = Context(columns, predicates, "id", None, spark.createDataFrame([], "sibling string, anchor string"), [("b", "urn:link")])
+    concepts = spark.createDataFrame([("F", "urn:Filled", 0.98, "Concept-StringMatch")], "value string, uri string, confidence double, method string")
+    disjoint = spark.createDataFrame([("urn:A", "urn:B"), ("urn:B", "urn:A")], "a string, b string")
+    batch = E.emit(spark.read.parquet(str(tmp_path / "in")), "_row", columns, predicates, "id", context.sibling, concepts, disjoint).unionByName(E.links(spark.read.parquet(str(tmp_path / "in")), "_row", "id", context.links))
+    want = sorted(map(str, batch.collect()))
+    stream = spark.readStream.schema("_row long, id string, a string, b string").parquet(str(tmp_path / "in"))
+    q = T.emit_stream(stream, "_row", context, concepts, disjoint).writeStream.outputMode("append").format("memory").queryName("emitted").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(str, spark.sql("select * from emitted").collect())) == want
+    assert sum("Row_Type_Conflict" in x for x in want) == 2 * 7

@@ -46,8 +46,7 @@ def test_turtle(spark):
     assert {r[2] for r in rows if r[1] == RDFS + "domain"} == {"urn:x#A", "urn:x#B"}
     assert {r[2] for r in rows if r[1] == OWL + "members"} == {"urn:x#A", "urn:x#B", "urn:x#C"}
     assert {r[4] for r in rows if r[1] == "urn:x#n"} == {XSD + "integer", XSD + "decimal", XSD + "boolean"}
-    with pytest.raises(rdf.TurtleError):
-        rdf.parse_turtle("@base <urn:x> .")
+    assert rdf.parse_turtle("@base <http://x/y/> . <a> <b> <../c> .") == [("http://x/y/a", "http://x/y/b", "http://x/c", "iri", None, None)]
     with pytest.raises(rdf.TurtleError):
         rdf.parse_turtle("q:a q:b q:c .")
 

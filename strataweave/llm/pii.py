@@ -211,7 +211,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_found long"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,14 +221,15 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("text").to_pylist():
             base, spans = find_all(text or "")
             counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
-            rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans) - len(base)))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans) - len(base), len(spans)))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, base matches per kind, base_sha256, spans (base and added), n_disguised (added).
+    """One row per input row: doc_id, base matches per kind, base_sha256, spans (base and added), n_disguised (added),
+    n_found (all).
 
     Null text counts as empty. Repeated rows give repeated results; an empty table an empty one. Columns besides doc_id
     and text are not read.

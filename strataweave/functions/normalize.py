@@ -91,3 +91,26 @@ def normalize_entity_iri(c: Column) -> Column:
     last = F.element_at(F.split(s, "/"), -1)
     name = F.when(s.contains("#"), F.element_at(F.split(s, "#"), -1)).otherwise(last)
     return F.when(F.lower(s).contains("unknown"), F.concat(F.lit("unknown_"), slug(last))).otherwise(slug(F.regexp_replace(name, "(?<!^)(?=[A-Z])", "_")))
+
+
+def to_curie(iri: Column, prefixes: dict[str, str]) -> Column:
+    """The short form of an IRI under one of the namespaces (the longest that fits), else the IRI itself."""
+    out = iri
+    for prefix, ns in sorted(prefixes.items(), key=lambda x: (len(x[1]), x)):
+        out = F.when(iri.startswith(ns), F.concat(F.lit(f"{prefix}:"), F.substring(iri, F.lit(len(ns) + 1), F.length(iri)))).otherwise(out)
+    return out
+
+
+def to_iri(term: Column, prefixes: dict[str, str], base: str = "") -> Column:
+    """The IRI of a term: angle brackets off, a known prefix replaced, a full IRI as it is, anything else under ``base``."""
+    bare = F.regexp_replace(F.trim(term), "^<(.*)>$", "$1")
+    out = F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare).otherwise(F.concat(F.lit(base), bare))
+    for prefix, ns in prefixes.items():
+        out = F.when(bare.startswith(f"{prefix}:") & ~bare.startswith(f"{prefix}://"), F.concat(F.lit(ns), F.substring(bare, F.lit(len(prefix) + 2), F.length(bare)))).otherwise(out)
+    return out
+
+
+def clean_id(text: Column) -> Column:
+    """A slug for minted IRIs: lower case, apostrophes out, every other run of signs one underscore, none at the ends."""
+    low = F.regexp_replace(F.lower(F.trim(text)), "['’]", "")
+    return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -29,6 +29,18 @@ def number_of(v: Column) -> Column:
     return F.when(is_numeric(v), F.replace(v, F.lit(",")).cast("double"))
 
 
+def leading_number(v: Column) -> Column:
+    """The value of a number, or of the number that a text begins with; null for any other text."""
+    first = F.nullif(F.regexp_extract(F.replace(F.trim(v), F.lit(",")), r"^[+-]?[0-9]+(?:\.[0-9]+)?", 0), F.lit(""))
+    return F.coalesce(number_of(v), first.cast("double"))
+
+
+def numeric_summary(table: DataFrame) -> DataFrame:
+    """(column_name, min_value, max_value) over leading numbers; columns without one have nulls. One aggregate."""
+    v = leading_number(F.col("value"))
+    return cells(table).groupBy("column_name").agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"))
+
+
 def is_timestamp(v: Column) -> Column:
     tried = [F.coalesce(F.try_to_timestamp(v, F.lit(f)).isNotNull(), F.lit(False)) for f in DATE_FORMATS]
     some = tried[0]

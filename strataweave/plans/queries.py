@@ -21,7 +21,7 @@ from strataweave.operators import retrieval as R
 from strataweave.operators import spans as W
 from strataweave.operators import text as T
 from strataweave.plans import interpret
-from strataweave.plans import schema_queries, table_queries, text_queries
+from strataweave.plans import more_queries, schema_queries, table_queries, text_queries
 from strataweave.plans.fixtures import CELLS, CEA, CPA, CTA, CLAUSES, MENTIONS, trade_ontology
 from strataweave.plans.registry import QUERIES, SQL, query, quoted, table
 
@@ -721,4 +721,4 @@ def entity_spans(spark, sf_dir):
     return W.entity_spans(docs, [("Spiritwood Plank", "Material"), ("Plank", "Material"), ("Ingot", "Material")])
 
 
-__all__ = ["QUERIES", "SQL", "schema_queries", "table_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "more_queries", "schema_queries", "table_queries", "text_queries"]

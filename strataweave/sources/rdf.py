@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strataweave.operators.ontology import RDF, TRIPLE, XSD
+from strataweave.operators.ontology import RDF, RDFS, TRIPLE, XSD
 from strataweave.sources.rdf_formats import parse_jsonld, parse_rdfxml
 
 _TOKEN = re.compile(
@@ -303,3 +303,24 @@ def emitted_to_rdf(emitted: DataFrame, namespace: str = "urn:strataweave:id/") -
     slug = lambda c: F.when(c.rlike("^(https?|urn):"), c).otherwise(F.concat(F.lit(namespace), F.url_encode(c)))
     is_iri = F.col("object").rlike("^(https?|urn):") | (F.col("method") == "Schema-Driven-SubjectLink")
     return emitted.select(slug(F.col("subject")).alias("s"), F.col("predicate").alias("p"), F.when(is_iri, slug(F.col("object"))).otherwise(F.col("object")).alias("o"), F.when(is_iri, "iri").otherwise("literal").alias("o_kind"), F.when(~is_iri, typed_literal(F.col("object"))).alias("datatype"), F.lit(None).cast("string").alias("lang"))
+
+
+def enrich(edges: DataFrame, labels: DataFrame, namespace: str, language: str = "en") -> DataFrame:
+    """Mesh edges(s, p, o, quantity) and labels(iri, label, type) as RDF.
+
+    An edge with a quantity goes through a blank node that holds the item and the amount; one without goes straight. Every
+    node gets its type and its label with a language tag. ``namespace`` makes predicates and types IRIs. Projections and
+    one explode: nothing is shuffled but for the last distinct.
+    """
+    none = F.lit(None).cast("string")
+    term = lambda c: F.when(c.contains(":"), c).otherwise(F.concat(F.lit(namespace), c))
+    row = lambda s, p, o, kind, datatype=none, lang=none: F.struct(s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), datatype.alias("datatype"), lang.alias("lang"))
+    node = F.concat(F.lit("_:q"), F.lower(F.hex(F.xxhash64("s", "p", "o", "quantity"))))
+    whole = F.col("quantity") == F.floor("quantity")
+    amount = F.when(whole, F.col("quantity").cast("long").cast("string")).otherwise(F.col("quantity").cast("string"))
+    typed = F.when(whole, XSD + "integer").otherwise(XSD + "double")
+    through = F.array(row(F.col("s"), term(F.col("p")), node, "bnode"), row(node, F.lit(namespace + "item"), F.col("o"), "iri"), row(node, F.lit(namespace + "quantity"), amount, "literal", typed))
+    straight = F.array(row(F.col("s"), term(F.col("p")), F.col("o"), "iri"))
+    out = edges.select(F.explode(F.when(F.col("quantity").isNotNull(), through).otherwise(straight)).alias("t")).select("t.*")
+    said = F.array(row(F.col("iri"), F.lit(RDF + "type"), term(F.col("type")), "iri"), row(F.col("iri"), F.lit(RDFS + "label"), F.col("label"), "literal", none, F.lit(language)))
+    return out.unionByName(labels.select(F.explode(said).alias("t")).select("t.*")).distinct()

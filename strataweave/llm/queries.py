@@ -53,6 +53,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7_pii that SQL can express."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def rule_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_quality_rules, from its counts alone."""
+    counts = quality_rules.text_statistics(_table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 OP1_SQL = r"""
 with base as (
   select doc_id, source, length(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), '[^ ]+', '', 'g'))
@@ -108,6 +119,36 @@ select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, pay
 from named window same as (partition by html)
 """
 
+PII_SQL = r"""
+with found as (
+  select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) as n_email,
+         list_filter(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast(right('000' || p, 3) as int) > 255)) = 0) as ips,
+         list_transform(regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) as cards,
+         list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 9 and 15) as phones
+  from (select doc_id, coalesce(text, '') as text from documents)),
+sums as (
+  select *, list_filter(cards, lambda c: length(c) between 13 and 19 and list_sum(list_transform(range(1, length(c) + 1), lambda i:
+           case when i % 2 = 1 then cast(substr(c, i, 1) as int) when substr(c, i, 1) < '5' then 2 * cast(substr(c, i, 1) as int) else 2 * cast(substr(c, i, 1) as int) - 9 end)) % 10 = 0) as good
+  from found)
+select doc_id, n_email::bigint as n_email, len(ips)::bigint as n_ip, len(good)::bigint as n_card, len(phones)::bigint as n_phone from sums
+"""
+
+RULES_SQL = r"""
+with base as (
+  select row_number() over () as row_no, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+windows as (
+  select row_no, unnest(range(1, len(words) - 1)) as place, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) as three
+  from base where len(words) >= 3),
+twice as (select row_no, three from windows group by all having count(*) > 1),
+covered as (select distinct row_no, place + d as place from windows join twice using (row_no, three), (values (0), (1), (2)) t(d)),
+counted as (select row_no, count(*) as n from covered group by row_no)
+select doc_id, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+       (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
+from base left join counted using (row_no)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -119,5 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_ids": op9_token_ids,
     "op10_near_dedup": op10_near_dedup,
+    "pii_base_counts": pii_base_counts,
+    "rule_base_counts": rule_base_counts,
 }
-SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL}
+SQL: dict[str, str] = {"op1_mix": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op6_warc": OP6_SQL, "pii_base_counts": PII_SQL, "rule_base_counts": RULES_SQL}

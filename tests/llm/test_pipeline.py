@@ -30,3 +30,24 @@ def test_stages(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + len((r.text or "").encode().split())
     assert got == taken
     assert {r.doc_id for r in packed.collect()} == set(taken)
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark):
+    """Columns of clashing names, nulls, repeated rows, blank texts; and no rows at all."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, n int, sha string, rep int, slot long, words string, size int, keep_id long"
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").limit(6).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += [rows[0], rows[0], (900, rows[1][1] + " ", "en", None, 1), (None, rows[2][1], None, "s", 2), (901, None, "en", "s", 0), (902, "", "en", "s", 0), (903, " \t", None, None, 2)]
+    odd = spark.createDataFrame([(*r, "x", 1, 2, "y", 3, 4, "z", 5, 6) for r in rows], shape)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.materialize(stage(spark, docs, SF), f"test-{name}")
+            if name != "pack":
+                assert out.columns == docs.columns
+                docs = out
+        texts = [" ".join(r.text.split()) for r in docs.collect()]
+        taken = mixing.mix_totals(docs).count()
+        assert taken == len(texts) and (out.count() > 0) == bool(texts)
+    unique = corpus_pipeline.exact(spark, odd, SF).collect()
+    one_space = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert sorted(one_space(r.text) for r in unique) == sorted({one_space(r[1]) for r in rows})

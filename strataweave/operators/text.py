@@ -6,38 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.cells import split_sentences
-
-# Cue patterns of each modality and the words that override fluff; marks that end a clause.
-CUES = {
-    "BOULETIC_FLUFF": (
-        r"\b(i (was mulling|realized|realised|wanted|feel|think|believe|prefer|hope|wish|suggest|recommend|find|mean|guess|suppose|suspect|doubt|reckon|myself don't|don't own))\b",
-        r"\b(in my opinion|in my experience|imo|imho|fwiw|tbh|to be honest|honestly|personally|for me|my advice|my goal|my recommendation)\b",
-        r"\b(super long post|long post|can't be bothered|feel free to|let me know|thank you|thanks for reading|welcome to my guide|alright squad|dirty guide|bam!)\b",
-        r"\b(note from author|author's note|just for fun|i hope this|please let me know)\b",
-    ),
-    "HYPOTHETICAL": (
-        r"\b(if you (are|want|choose|have|need|plan|intend|own|decide|do not|don't)|if you're|if you've)\b",
-        r"\b(when (crafting|making|creating|gearing|levelling|leveling|starting|doing)|when you (craft|make|create|reach|level))\b",
-        r"\b(unless|assuming|provided that|in case|whenever|upon (crafting|completing|reaching|finishing|acquiring))\b",
-        r"\b(whether|as long as|should you|supposing)\b",
-    ),
-    "EPISTEMIC_ESTIMATE": (
-        r"\b(likely|unlikely|around|approx|approximately|drop rate|chance|estimated|probably|roughly|maybe|seems to)\b",
-        r"\b(about\s+\d+|~\s*\d+|\d+\s*-\s*\d+\s*(gold|g|silver|s|copper|c|%|percent|infusions|planks|relics))\b",
-        r"\b(frequently|rarely|sometimes|uncertain|optimal circumstances|price difference|relative to the price)\b",
-        r"\b(cost (around|about|somewhere|typically)|will cost around|typically around)\b",
-    ),
-    "DEONTIC_RULE": (
-        r"\b(must|requires?|requiring|required|cannot|can't|always|unlocked by|prerequisite|needed for|mandatory|essential|strictly)\b",
-        r"\b(has to|have to|only|requires level|requires rating|bound|account-bound|soulbound|never|impossible)\b",
-        r"\b(recipe is sold|obtained from|crafted at|crafted by|throw .* into|combine .* with|talk to .* at|grab .* from)\b",
-        r"\b(you (gotta|need to|have to|must|will need)|you get the actual|throw everything into)\b",
-    ),
-}
-STRONG_RULE = r"\bmust\b|\brequires?\b|\bcrafted by\b|\bobtained from\b|\bprecursor\b"
-CONFIDENCE = {"BOULETIC_FLUFF": 0.95, "HYPOTHETICAL": 0.90, "EPISTEMIC_ESTIMATE": 0.88, "DEONTIC_RULE": 0.92}
-CLAUSE_END = r";\s*|—\s*|--\s*|\s+-\s+|,\s*(?=(?:and|but|while|however|because|whereas|whereafter|once|so|as well as|or you can't|or you cannot)\b)"
-
+from strataweave.rules.cues import CLAUSE_END, CONFIDENCE, CUES, STRONG_RULE
 
 def clauses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sentence_no, clause_no, clause): sentences cut at semicolons, dashes and conjunctions; bullets dropped; three characters at least."""

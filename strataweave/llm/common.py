@@ -61,11 +61,14 @@ def release() -> None:
     _written.clear()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    ``options`` go to the Parquet writer.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

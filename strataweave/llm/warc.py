@@ -18,6 +18,7 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,12 @@ ARC_FIELDS = {
 _NAMES = {"1": "URL IP-address Archive-date Content-type Archive-length", "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: Bytes of records an archive file holds before the next begins; a reader takes a file at a time.
 FILE_BYTES = 8 << 20
+#: Bytes of records a batch holds before the next begins, as well as a number of rows: blocks have no largest size.
+BATCH_BYTES = 2 << 20
+#: Rows Spark's Parquet reader holds at once here: with its own 4,096, pages of 1 MB take 4 GB.
+READ_ROWS = 16
+#: Row groups of converted records in compressed bytes, measured at every row: the writer holds a group in memory.
+_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.check.estimate": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 ARCHIVE_DATE = "20240101000000"
 
 
@@ -152,8 +159,9 @@ def _to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((url or "-", "text/html", block))
             size += len(block)
             if size >= FILE_BYTES:
-                yield _one(write_arc(held, "12"[turn % 2]))
+                content = write_arc(held, "12"[turn % 2])
                 held, size, turn = [], 0, turn + 1
+                yield _one(content)
     if held:
         yield _one(write_arc(held, "12"[turn % 2]))
 
@@ -168,12 +176,15 @@ def pages_to_arc(pages: DataFrame) -> DataFrame:
     Null url "-", null html an empty payload, null page_id no X-Page-Id. An empty table gives no file. Columns besides
     page_id, url and html are not read.
     """
+    return _page_rows(pages).mapInArrow(_to_arc, "content binary")
+
+
+def _page_rows(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
-    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", "html")
-    return rows.mapInArrow(_to_arc, "content binary")
+    return pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", "html")
 
 
-_CONVERTED = "kind string, page_id long, url string, ip string, date string, mime string, block binary, head int, payload_digest string, same binary"
+_CONVERTED = "kind string, page_id long, url string, ip string, date string, mime string, block binary, head int, payload_bytes long, payload_digest string, same binary"
 
 
 def _kinds(schema: str) -> tuple[list[str], list[pa.DataType]]:
@@ -183,15 +194,24 @@ def _kinds(schema: str) -> tuple[list[str], list[pa.DataType]]:
 
 
 def _batches(rows: Iterator[tuple], schema: str, most: int = 200) -> Iterator[pa.RecordBatch]:
+    """Batches of ``most`` rows, or fewer as soon as they hold BATCH_BYTES: one row's bytes over that at most."""
     names, kinds = _kinds(schema)
     held: list[tuple] = []
+    size = 0
+
+    def taken() -> pa.RecordBatch:
+        nonlocal held, size
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+        held, size = [], 0
+        return batch
+
     for row in rows:
         held.append(row)
-        if len(held) == most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-            held = []
+        size += sum(len(x) for x in row if isinstance(x, bytes | str))
+        if len(held) == most or size >= BATCH_BYTES:
+            yield taken()
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+        yield taken()
 
 
 def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +223,29 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     payload = block[head:]
                     kind = "warcinfo" if i == 0 else "response" if http or head else "resource"
                     page = http.get("x-page-id", "")
-                    yield kind, int(page) if page.removeprefix("-").isdigit() else None, fields["url"], fields["ip"], fields["date"], fields["mime"], block, head, sha1_base32(payload), hashlib.sha256(payload).digest()
+                    yield kind, int(page) if page.removeprefix("-").isdigit() else None, fields["url"], fields["ip"], fields["date"], fields["mime"], block, head, len(payload), sha1_base32(payload), hashlib.sha256(payload).digest()
 
     yield from _batches(rows(), _CONVERTED)
 
 
+def _through_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to ARC files to records in one worker: as rows between two, each file would be copied several times in the JVM."""
+    return _from_arc(_to_arc(batches))
+
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside read few rows at once, whatever the length of their pages and blocks."""
+    bounded_batches(spark)
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(READ_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """ARC files under ``path`` as rows with a binary column ``content``."""
     return spark.read.format("binaryFile").load(path).select("content")
@@ -250,14 +288,19 @@ def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
     and date as well are one capture written twice, all of them whole. A payload's copies are settled on narrow rows; a
     group of copies, however large, meets in no task. An archive that cannot be parsed raises ValueError.
     """
-    rows = materialize(archives.mapInArrow(_from_arc, _CONVERTED), "warc-rows")
-    size = F.octet_length("block") - F.col("head")
-    narrow = rows.filter("kind <> 'warcinfo'").filter(size >= least_bytes).select("same", "page_id", "url", "date")
+    with _few_rows(archives.sparkSession):
+        _write(archives.mapInArrow(_from_arc, _CONVERTED), path, least_bytes)
+
+
+def _write(converted: DataFrame, path: str, least_bytes: int) -> None:
+    rows = materialize(converted, "warc-rows", **_GROUPS)
+    keyed = (F.col("kind") != "warcinfo") & (F.col("payload_bytes") >= least_bytes)
+    narrow = rows.filter(keyed).select("same", "page_id", "url", "date")
     order = F.struct(F.coalesce("page_id", F.lit(-(2**63))), "url", "date")
     heads = narrow.groupBy("same").agg(F.count("*").alias("copies"), F.max_by(F.struct("page_id", "url", "date"), order).alias("to"))
     heads = materialize(heads.filter("copies > 1").select("same", "copies", F.col("to.page_id").alias("to_page"), F.col("to.url").alias("to_url"), F.col("to.date").alias("to_date")), "warc-heads")
     # A payload under ``least_bytes`` or a version block has no key, hence no other copy.
-    rows = rows.withColumn("same", F.when((F.col("kind") != "warcinfo") & (size >= least_bytes), F.col("same")))
+    rows = rows.withColumn("same", F.when(keyed, F.col("same")))
     met = join_group_facts(rows, heads, "same", "copies", rows.count())
     is_head = F.col("page_id").eqNullSafe(F.col("to_page")) & (F.col("url") == F.col("to_url")) & (F.col("date") == F.col("to_date"))
     met = met.withColumn("revisit", F.col("copies").isNotNull() & ~F.coalesce(is_head, F.lit(False)))
@@ -293,6 +336,7 @@ def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record but warcinfo; digests of payloads that are there are checked."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     rows = materialize(files.mapInArrow(_from_warc, _READ), "warc-read")
     revisited = rows.filter("refers is not null").groupBy("refers").agg(F.count("*").alias("copies"))
@@ -312,5 +356,6 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    convert(pages_to_arc(pages), path)
+    with _few_rows(spark):
+        _write(_page_rows(pages).mapInArrow(_through_arc, _CONVERTED), path, 0)
     return read_warc(spark, path)

@@ -7,12 +7,14 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataweave.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output, tokens, warc
+from strataweave.llm import common, exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup, token_output, tokens, warc
 from strataweave.llm.common import join_group_facts, null_safe_key, running_start
 from strataweave.llm.words import Words, shingle_set
 
@@ -555,6 +557,36 @@ def test_warc_of_repeated_and_null_pages(spark, monkeypatch):
     assert sum(got.values()) == len(rows)
 
 
+def test_long_blocks_are_batched_by_bytes():
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 300_000
+    arc = warc._one(warc.write_arc([(f"u{i}", "text/html", block) for i in range(40)], "1"))
+    most = warc.BATCH_BYTES + len(block) + 4000
+    read = list(warc._from_arc(iter([arc])))
+    assert sum(b.num_rows for b in read) == 41 and max(b.nbytes for b in read) <= most
+    facts = {"copies": None, "to_page": None, "to_url": None, "to_date": None, "revisit": False}
+    records = pa.RecordBatch.from_pylist([r | facts for b in read for r in b.to_pylist()])
+    written = list(warc._to_warc(iter([records])))
+    assert sum(b.num_rows for b in written) == 41 and max(b.nbytes for b in written) <= most
+    assert {n for b in written for n in b.column("part").to_pylist()} == {0, 1}
+
+
+def test_long_pages_are_read_few_at_a_time(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    key, seen, paths = "spark.sql.parquet.columnarReaderBatchSize", {}, {}
+    before, materialize, new_path = spark.conf.get(key), warc.materialize, common.new_path
+    monkeypatch.setattr(warc, "materialize", lambda df, tag, *a, **b: seen.update({tag: int(spark.conf.get(key))}) or materialize(df, tag, *a, **b))
+    monkeypatch.setattr(common, "new_path", lambda s, tag: paths.update({tag: new_path(s, tag)}) or paths[tag])
+    rng = random.Random(4)
+    pages = [(i, "u", rng.randbytes(1 << 20).hex()) for i in range(24)]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(i, 2 << 20, "response") for i in range(24)]
+    assert seen["warc-rows"] <= 16 and seen["warc-heads"] <= 16 and spark.conf.get(key) == before
+    files = [pq.ParquetFile(f).metadata for f in Path(paths["warc-rows"].removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert max(sum(g.column(i).total_compressed_size for i in range(g.num_columns)) for g in groups) <= 20 << 20
+
+
 def _base_by_scan(text):
     """The contract's expressions as they stand."""
     digits = lambda s: "".join(c for c in s if c in "0123456789")

@@ -557,6 +557,14 @@ def test_warc_of_repeated_and_null_pages(spark, monkeypatch):
     assert sum(got.values()) == len(rows)
 
 
+def test_arc_files_as_rows_give_the_same_archive(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", f"<p>{i // 2}</p>" * 50) for i in range(30)] + [(None, None, None)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.convert(warc.pages_to_arc(d), str(tmp_path / "out"))
+    told = lambda rows: sorted(map(str, rows.collect()))
+    assert told(warc.read_warc(spark, str(tmp_path / "out"))) == told(warc.archive_pages(d))
+
+
 def test_long_blocks_are_batched_by_bytes():
     block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 300_000
     arc = warc._one(warc.write_arc([(f"u{i}", "text/html", block) for i in range(40)], "1"))

@@ -240,6 +240,45 @@ def test_clause_slots(spark):
     assert triples == {("H.O.P.E.", "requiresIngredient", "Spiritwood Plank")}
 
 
+def _shuffled(df):
+    """What each exchange of a plan carries."""
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            yield node.output().mkString(",")
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return list(walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan))
+
+
+@pytest.mark.parametrize("name", ["aboutness"])
+def test_clauses_are_not_shuffled(spark, name):
+    from strataweave.plans.queries import QUERIES
+
+    assert not any("clause#" in x for x in _shuffled(QUERIES[name](spark, "/root/testdata/sf0.001")))
+
+
+def test_frames_by_row_and_by_join_agree(spark, monkeypatch):
+    from strataweave.plans.text_queries import ALIASES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "The Ärger_x and the İ, then The\nThe-and That; 3 Pour")], "doc_id long, text string"))
+    aliases = spark.createDataFrame([*ALIASES, ("urn:the", "The", "CraftingMaterial", "The-and"), (None, None, None, "pour"), ("urn:x", "X", None, "ärger"), ("urn:y", "Y", "Zone", None)], "uri string, label string, type string, alias string")
+    own = sorted(map(str, discourse.parse(docs, aliases, disciplines=("chef",)).collect()))
+    monkeypatch.setattr(discourse, "FEW_ALIASES", 0)
+    by_join = discourse.parse(docs, aliases, disciplines=("chef",)).select("doc_id", "clause_no", "sentence_no", "clause", "modality", "confidence", "pruned", "anchor", "anchor_uri", "anchor_type", "slots")
+    assert own == sorted(map(str, by_join.collect())) and len(own) > 400
+
+
+def test_clauses_of_a_repeated_key_are_numbered_together(spark):
+    from strataweave.operators import text as T
+
+    docs = spark.createDataFrame([(1, "One thing. Two things"), (1, "One thing. Two things"), (2, "Alone")], "doc_id int, text string")
+    got = sorted((r.doc_id, r.clause_no, r.clause) for r in T.clauses(docs).collect())
+    assert got == [(1, 0, "One thing."), (1, 1, "One thing."), (1, 2, "Two things"), (1, 3, "Two things"), (2, 0, "Alone")]
+
+
 # ---- schema
 
 

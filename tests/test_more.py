@@ -252,7 +252,7 @@ def _shuffled(df):
     return list(walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan))
 
 
-@pytest.mark.parametrize("name", ["aboutness", "frame_entities", "frame_triples", "induced_dimensions", "slot_counts"])
+@pytest.mark.parametrize("name", ["aboutness", "frame_entities", "frame_triples", "induced_dimensions", "slot_counts", "frame_anchors"])
 def test_clauses_are_not_shuffled(spark, name):
     from strataweave.plans.queries import QUERIES
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +39,8 @@ def hybrid_search(queries: DataFrame, entities: DataFrame, top_k: int = 10, type
 
 #: Queries whose vectors a task holds at once, and rows of a dimension that may be broadcast.
 QUERY_BLOCK, DIMENSION = 4096, 2_000_000
+#: Queries and vectors of one product: 4 MB of scores.
+TILE = 512, 1024
 
 
 def dimension(df: DataFrame) -> DataFrame:
@@ -50,19 +52,20 @@ def knn(vectors: DataFrame, queries: DataFrame, top_k: int = 10, where: str | No
     """Exact k nearest by cosine: vectors(id, vec), queries(qid, qvec) -> (qid, rank, id, score), ties by id.
 
     The filter runs before scoring. Queries go out in blocks of about QUERY_BLOCK, each with a scan of its own: a task
-    multiplies batches of vectors with one block and keeps its best ``top_k`` per query; only those are shuffled and
-    ranked. What the driver and a task hold does not grow with the number of queries.
+    multiplies tiles of vectors with tiles of one block and keeps its best ``top_k`` per query; only those are shuffled
+    and ranked. What the driver and a task hold does not grow with the number of queries or vectors. Scores equal to
+    nine places tie.
     """
     if where is not None:
         vectors = vectors.filter(where)
-    vectors, queries = vectors.select("id", "vec"), queries.select("qid", "qvec")
+    vectors, queries = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).filter("vec is not null"), queries.select("qid", "qvec")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     own = F.pmod(F.xxhash64("qid"), F.lit(blocks))
     best = None
     for i in range(blocks):
-        found = vectors.mapInPandas(_nearest_of(queries.filter(own == i).orderBy("qid").collect(), top_k), "qid long, id long, score double")
+        found = vectors.mapInArrow(_nearest_of(queries.filter(own == i).orderBy("qid").collect(), top_k), "qid long, id long, score double")
         best = found if best is None else best.unionByName(found)
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("qid", "rank", "id", "score")
 
 
@@ -72,17 +75,30 @@ def _nearest_of(asked: list, top_k: int):
     norms = np.linalg.norm(block, axis=1, keepdims=True)
     block = block / np.where(norms > 1e-12, norms, 1.0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not qids:
-                continue
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            scores = block @ (x / np.where(n > 1e-12, n, 1.0)).T
-            ids = b["id"].to_numpy()
-            for i, qid in enumerate(qids):
-                at = np.lexsort((ids, -scores[i]))[:top_k]
-                yield pd.DataFrame({"qid": qid, "id": ids[at], "score": np.clip(scores[i][at], -1.0, 1.0)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Per query the best so far; places not yet taken come last.
+        ids, best = np.full((len(qids), top_k), np.iinfo(np.int64).max), np.full((len(qids), top_k), -np.inf)
+        for whole in batches:
+            for start in range(0, whole.num_rows if qids else 0, TILE[1]):
+                b = whole.slice(start, TILE[1])
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = (x / np.where(n > 1e-12, n, 1.0)).T
+                own = b.column("id").to_numpy()
+                for at in range(0, len(qids), TILE[0]):
+                    part = slice(at, at + TILE[0])
+                    scores = np.clip(block[part] @ x, -1.0, 1.0)
+                    rounded = np.round(scores, 9)
+                    # Only rows that have a vector as good as their last one so far are ranked anew.
+                    for i in np.flatnonzero(rounded.max(axis=1) >= np.round(best[part, -1], 9)):
+                        near = np.flatnonzero(rounded[i] >= np.round(best[at + i, -1], 9))
+                        all_ids, all_scores = np.concatenate([ids[at + i], own[near]]), np.concatenate([best[at + i], scores[i][near]])
+                        keep = np.lexsort((all_ids, -np.round(all_scores, 9)))[:top_k]
+                        ids[at + i], best[at + i] = all_ids[keep], all_scores[keep]
+        for at in range(0, len(qids), TILE[0]):
+            part = slice(at, at + TILE[0])
+            i, k = np.nonzero(np.isfinite(best[part]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(qids[part], np.int64)[i]), pa.array(ids[part][i, k]), pa.array(best[part][i, k])], names=["qid", "id", "score"])
 
     return run
 

@@ -225,6 +225,30 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert whole == {(q, k + 1): int(i) for q in range(20) for k, i in enumerate(np.argsort(-(u[q] @ u.T))[:4])}
 
 
+def test_equal_vectors_rank_by_id_and_tiles_are_small(spark):
+    from strataweave.operators import retrieval as R
+
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(700, 9)), 7, axis=0)[rng.permutation(4900)]
+    vectors = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").coalesce(1)
+    asked = vectors.filter("id % 8 = 0").selectExpr("id as qid", "vec as qvec")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    want = {(q, k + 1): int(i) for q in range(0, 4900, 8) for k, i in enumerate(np.lexsort((np.arange(4900), -s[q]))[:10])}
+    assert {(r.qid, r["rank"]): r.id for r in R.knn(vectors, asked, 10).collect()} == want
+    run = R._nearest_of(asked.collect(), 10)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4900)), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "vec"])
+    import tracemalloc
+
+    tracemalloc.start()
+    list(run(iter([batch] * 3)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # one product of all is 24 MB
+
+
 # ---- discourse
 
 

@@ -49,6 +49,18 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
 
 
+#: Estimated bytes that a task of _dealt gets.
+TASK_BYTES = 8 << 20
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over tasks whose number grows with the estimated input, so that what a task holds does not; and
+    which are not put together again for being small when compressed."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(least, min(size, 1 << 40) // TASK_BYTES) if size < 1 << 50 else least, *keys)
+
+
 def closure(edges: DataFrame, reflexive: bool = False, longest: bool = False) -> DataFrame:
     """edges(child, parent) -> (child, ancestor, distance) with the shortest (or longest) distance, at any depth.
 
@@ -97,16 +109,26 @@ def property_edges(triples: DataFrame) -> DataFrame:
     return of(triples, RDFS + "subPropertyOf").filter("o_kind = 'iri'").select(F.col("s").alias("child"), F.col("o").alias("parent"))
 
 
-def labels(triples: DataFrame) -> DataFrame:
-    """Per subject: label (preferred, else label, else the split local name), pref_label, alt_labels with the local name, comment."""
+def _label_parts() -> list[Column]:
+    """Aggregates of a subject's triples that _labelled makes labels of."""
     get = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
     many = F.array_sort(F.collect_set(F.when(F.col("p") == SKOS + "altLabel", F.col("o"))))
-    out = triples.groupBy("s").agg(get(SKOS + "prefLabel").alias("pref_label"), get(RDFS + "label").alias("rdfs_label"), many.alias("alts"), get(RDFS + "comment").alias("comment"))
-    name = local_name(F.col("s"))
+    return [get(SKOS + "prefLabel").alias("pref_label"), get(RDFS + "label").alias("rdfs_label"), many.alias("alts"), get(RDFS + "comment").alias("comment")]
+
+
+def _labelled(s: Column) -> tuple[Column, Column]:
+    """Label and other labels of ``s`` from _label_parts."""
+    name = local_name(s)
     split = F.trim(F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "[_-]+", " "))
     label = F.coalesce("pref_label", "rdfs_label", split)
     alts = F.array_sort(F.array_except(F.array_union(F.array_union("alts", F.array(name)), F.when(F.col("rdfs_label").isNotNull(), F.array("rdfs_label")).otherwise(F.array().cast("array<string>"))), F.array(label)))
-    return out.select(F.col("s").alias("uri"), label.alias("label"), "pref_label", alts.alias("alt_labels"), "comment")
+    return label, alts
+
+
+def labels(triples: DataFrame) -> DataFrame:
+    """Per subject: label (preferred, else label, else the split local name), pref_label, alt_labels with the local name, comment."""
+    label, alts = _labelled(F.col("s"))
+    return triples.groupBy("s").agg(*_label_parts()).select(F.col("s").alias("uri"), label.alias("label"), "pref_label", alts.alias("alt_labels"), "comment")
 
 
 def disjoint_declared(triples: DataFrame) -> DataFrame:
@@ -237,9 +259,13 @@ def expected_ends(triples: DataFrame) -> DataFrame:
     return own.unionByName(lent).distinct()
 
 
+def _outside_vocabulary(kind: Column) -> Column:
+    return ~kind.startswith(OWL) & ~kind.startswith(RDFS) & ~kind.startswith(RDF) & ~kind.startswith(SKOS)
+
+
 def individuals(triples: DataFrame) -> DataFrame:
     """(uri, type): subjects typed by something other than the vocabulary of ontologies."""
-    typed = of(triples, RDF + "type").filter(~F.col("o").startswith(OWL) & ~F.col("o").startswith(RDFS) & ~F.col("o").startswith(RDF) & ~F.col("o").startswith(SKOS))
+    typed = of(triples, RDF + "type").filter(_outside_vocabulary(F.col("o")))
     return typed.select(F.col("s").alias("uri"), F.col("o").alias("type")).distinct()
 
 
@@ -308,10 +334,11 @@ def validate_shapes(triples: DataFrame, shapes: DataFrame, use_closure: bool = T
     types = of(triples, RDF + "type").select(F.col("s").alias("focus"), F.col("o").alias("cls"))
     if use_closure:
         up = closure(class_edges(triples)).select(F.col("child").alias("cls"), F.col("ancestor").alias("up"))
-        types = types.unionByName(types.join(up, "cls").select("focus", F.col("up").alias("cls"))).distinct()
-    targets = types.join(F.broadcast(shapes), F.col("cls") == F.col("target")).select("focus", "shape", "path", "kind", "arg", "message").distinct()
-    values = triples.select(F.col("s").alias("focus"), "p", "o", "o_kind", "datatype")
-    asked = targets.withColumn("p", F.explode("path")).join(values, ["focus", "p"], "left")
+        types = types.unionByName(types.join(up, "cls").select("focus", F.col("up").alias("cls")))
+    # Shapes are few: rows carry their numbers.
+    asked = shapes.select("shape", "target", "path", "kind", "arg", "message").filter(F.size("path") > 0).distinct()
+    asked = triples.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(asked.collect())], "id int, shape string, target string, path array<string>, kind string, arg string, message string")
+    targets = types.join(F.broadcast(asked.select("id", "target")), F.col("cls") == F.col("target")).select("focus", "id")
     number = F.expr("try_cast(o as double)")
     bad = (
         F.when(F.col("kind") == "datatype", (F.col("o_kind") != "literal") | F.coalesce(F.col("datatype") != F.col("arg"), F.lit(True)))
@@ -320,10 +347,15 @@ def validate_shapes(triples: DataFrame, shapes: DataFrame, use_closure: bool = T
         .when(F.col("kind") == "nodeKind", F.col("o_kind") == "literal")
         .otherwise(F.lit(False))
     )
-    keys = ["focus", "shape", "kind", "arg", "message", F.array_join("path", "|").alias("path")]
-    seen = asked.groupBy(*keys).agg(F.count_distinct("o").alias("n"), F.count_if(F.col("o").isNotNull() & bad).alias("n_bad"))
-    broken = F.when(F.col("kind") == "minCount", F.col("n") < F.expr("try_cast(arg as int)")).when(F.col("kind") == "maxCount", F.col("n") > F.expr("try_cast(arg as int)")).otherwise(F.col("n_bad") > 0)
-    return seen.filter(broken).select("focus", "shape", "kind", "path", "message")
+    counts = F.col("kind").isin("minCount", "maxCount")
+    paths = asked.select("id", "kind", "arg", F.explode(F.array_distinct("path")).alias("p"))
+    values = triples.filter("s is not null and o is not null").join(F.broadcast(paths), "p").select(F.col("s").alias("focus"), "id", F.when(counts, F.col("o")).alias("o"), F.coalesce(bad, F.lit(False)).alias("bad"), counts.alias("counts"))
+    # Focus nodes and values meet in one shuffle by focus; of shapes that count nothing only bad values go out.
+    rows = targets.select("focus", "id", F.lit(True).alias("focused"), F.lit(None).cast("string").alias("o"), F.lit(False).alias("bad"))
+    rows = rows.unionByName(values.filter("bad or counts").select("focus", "id", F.lit(False).alias("focused"), "o", "bad"))
+    seen = _dealt(rows, "focus").groupBy("focus", "id").agg(F.max("focused").alias("focused"), F.count_distinct("o").alias("n"), F.max("bad").alias("bad")).filter("focused").join(F.broadcast(asked), "id")
+    broken = F.when(F.col("kind") == "minCount", F.col("n") < F.expr("try_cast(arg as int)")).when(F.col("kind") == "maxCount", F.col("n") > F.expr("try_cast(arg as int)")).otherwise(F.col("bad"))
+    return seen.filter(broken).select("focus", "shape", "kind", F.array_join("path", "|").alias("path"), "message")
 
 
 def typed_literal(o: Column) -> Column:
@@ -349,7 +381,9 @@ def restrictions(triples: DataFrame) -> DataFrame:
 
 def cardinality_violations(facts: DataFrame, limits: DataFrame) -> DataFrame:
     """facts(s, p, o) and limits(p, least, most, null where open) -> (s, p, n): subjects with too few or too many distinct values."""
-    counted = facts.groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
+    # Only facts with a limit are shuffled, once, by subject; counts before that would hold whole files.
+    asked = facts.select("s", "p", "o").join(F.broadcast(limits.select("p").distinct()), "p", "left_semi")
+    counted = _dealt(asked, "s").groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
     over = (F.col("n") > F.col("most")) | (F.col("n") < F.col("least"))
     return counted.join(F.broadcast(limits), "p").filter(over).select("s", "p", "n")
 
@@ -357,14 +391,17 @@ def cardinality_violations(facts: DataFrame, limits: DataFrame) -> DataFrame:
 def entity_catalog(triples: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
     """One row per typed individual: type, label, alt_labels, and a column per group holding the value of the group's first
     predicate that has one. ``groups`` maps a column to its predicates by priority."""
-    facts = triples.join(individuals(triples).select("uri").distinct(), F.col("s") == F.col("uri"), "left_semi")
     pick = []
     for name, predicates in groups.items():
         rank = F.coalesce(*(F.when(F.col("p") == p, F.lit(i)) for i, p in enumerate(predicates)))
         pick.append(F.min_by(F.when(rank.isNotNull(), F.col("o")), F.when(rank.isNotNull(), F.struct(rank, F.col("o")))).alias(name))
-    wide = facts.groupBy(F.col("s").alias("uri")).agg(*pick) if pick else facts.select(F.col("s").alias("uri")).distinct()
-    types = individuals(triples).groupBy("uri").agg(F.min("type").alias("type"))
-    return wide.join(types, "uri").join(labels(facts).select("uri", "label", "alt_labels"), "uri")
+    # One shuffle by subject of the predicates that count; aggregates of strings would sort whole files before it.
+    facts = of(triples, RDF + "type", RDFS + "label", SKOS + "prefLabel", SKOS + "altLabel", *(p for ps in groups.values() for p in ps)).select("s", "p", "o")
+    facts = _dealt(facts, "s")
+    kind = F.min(F.when((F.col("p") == RDF + "type") & _outside_vocabulary(F.col("o")), F.col("o")))
+    wide = facts.groupBy("s").agg(kind.alias("type"), *pick, *_label_parts()).filter("s is not null and type is not null")
+    label, alts = _labelled(F.col("s"))
+    return wide.select(F.col("s").alias("uri"), *groups, "type", label.alias("label"), alts.alias("alt_labels"))
 
 
 def find_by_label(triples: DataFrame, text: str, exact: bool = True, case_sensitive: bool = False) -> DataFrame:

@@ -320,6 +320,20 @@ def test_deep_hierarchies_have_all_ancestors(spark):
     assert O.chain(triples, spark.createDataFrame([("urn:0",)], "uri string"), O.RDFS + "subClassOf").count() == 41
 
 
+@pytest.mark.parametrize("name", ["entity_catalog"])
+def test_subjects_are_shuffled_once(spark, name):
+    from strataweave.plans.queries import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(_shuffled(df)) == 1 and df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+    before = O.TASK_BYTES
+    try:
+        O.TASK_BYTES = 1 << 10  # the tasks grow in number with the input
+        assert "4), REPARTITION" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        O.TASK_BYTES = before
+
+
 # ---- plans
 
 

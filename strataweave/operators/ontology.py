@@ -53,11 +53,11 @@ def _settled(df: DataFrame) -> DataFrame:
 TASK_BYTES = 8 << 20
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by ``keys`` over tasks whose number grows with the estimated input, so that what a task holds does not; and
-    which are not put together again for being small when compressed."""
+def _dealt(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over tasks whose number grows with the estimated bytes of ``source``, so that what a task holds
+    does not; and which are not put together again for being small when compressed."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(max(least, min(size, 1 << 40) // TASK_BYTES) if size < 1 << 50 else least, *keys)
 
 
@@ -353,7 +353,7 @@ def validate_shapes(triples: DataFrame, shapes: DataFrame, use_closure: bool = T
     # Focus nodes and values meet in one shuffle by focus; of shapes that count nothing only bad values go out.
     rows = targets.select("focus", "id", F.lit(True).alias("focused"), F.lit(None).cast("string").alias("o"), F.lit(False).alias("bad"))
     rows = rows.unionByName(values.filter("bad or counts").select("focus", "id", F.lit(False).alias("focused"), "o", "bad"))
-    seen = _dealt(rows, "focus").groupBy("focus", "id").agg(F.max("focused").alias("focused"), F.count_distinct("o").alias("n"), F.max("bad").alias("bad")).filter("focused").join(F.broadcast(asked), "id")
+    seen = _dealt(rows, triples, "focus").groupBy("focus", "id").agg(F.max("focused").alias("focused"), F.count_distinct("o").alias("n"), F.max("bad").alias("bad")).filter("focused").join(F.broadcast(asked), "id")
     broken = F.when(F.col("kind") == "minCount", F.col("n") < F.expr("try_cast(arg as int)")).when(F.col("kind") == "maxCount", F.col("n") > F.expr("try_cast(arg as int)")).otherwise(F.col("bad"))
     return seen.filter(broken).select("focus", "shape", "kind", F.array_join("path", "|").alias("path"), "message")
 
@@ -382,8 +382,8 @@ def restrictions(triples: DataFrame) -> DataFrame:
 def cardinality_violations(facts: DataFrame, limits: DataFrame) -> DataFrame:
     """facts(s, p, o) and limits(p, least, most, null where open) -> (s, p, n): subjects with too few or too many distinct values."""
     # Only facts with a limit are shuffled, once, by subject; counts before that would hold whole files.
-    asked = facts.select("s", "p", "o").join(F.broadcast(limits.select("p").distinct()), "p", "left_semi")
-    counted = _dealt(asked, "s").groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
+    asked = facts.select("s", "p", "o").join(F.broadcast(limits.select("p")), "p", "left_semi")
+    counted = _dealt(asked, facts, "s").groupBy("s", "p").agg(F.count_distinct("o").alias("n"))
     over = (F.col("n") > F.col("most")) | (F.col("n") < F.col("least"))
     return counted.join(F.broadcast(limits), "p").filter(over).select("s", "p", "n")
 
@@ -397,7 +397,7 @@ def entity_catalog(triples: DataFrame, groups: dict[str, tuple[str, ...]]) -> Da
         pick.append(F.min_by(F.when(rank.isNotNull(), F.col("o")), F.when(rank.isNotNull(), F.struct(rank, F.col("o")))).alias(name))
     # One shuffle by subject of the predicates that count; aggregates of strings would sort whole files before it.
     facts = of(triples, RDF + "type", RDFS + "label", SKOS + "prefLabel", SKOS + "altLabel", *(p for ps in groups.values() for p in ps)).select("s", "p", "o")
-    facts = _dealt(facts, "s")
+    facts = _dealt(facts, triples, "s")
     kind = F.min(F.when((F.col("p") == RDF + "type") & _outside_vocabulary(F.col("o")), F.col("o")))
     wide = facts.groupBy("s").agg(kind.alias("type"), *pick, *_label_parts()).filter("s is not null and type is not null")
     label, alts = _labelled(F.col("s"))

@@ -320,7 +320,7 @@ def test_deep_hierarchies_have_all_ancestors(spark):
     assert O.chain(triples, spark.createDataFrame([("urn:0",)], "uri string"), O.RDFS + "subClassOf").count() == 41
 
 
-@pytest.mark.parametrize("name", ["entity_catalog", "shacl_alternative_mincount", "shacl_nodekind", "shacl_maxcount"])
+@pytest.mark.parametrize("name", ["entity_catalog", "shacl_alternative_mincount", "shacl_nodekind", "shacl_maxcount", "cardinality"])
 def test_subjects_are_shuffled_once(spark, name):
     from strataweave.plans.queries import QUERIES
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.ontology import _settled
+from strataweave.operators.retrieval import dimension
 
 #: Ingredients that a forge recipe takes.
 FORGE_INPUTS = 4
@@ -51,31 +52,49 @@ def quantity_conflicts(relations: DataFrame) -> DataFrame:
     return _finding(relations.filter("quantity <= 0"), "CARDINALITY_VIOLATION", "ERROR", "quantity")
 
 
-def components(triples: DataFrame, products: DataFrame, ingredient: tuple[str, ...], output: tuple[str, ...] = (), depth: int = COMPONENT_DEPTH) -> DataFrame:
+def components(triples: DataFrame, products: DataFrame, ingredient: tuple[str, ...], output: tuple[str, ...] = (), depth: int = COMPONENT_DEPTH, parts: DataFrame | None = None) -> DataFrame:
     """products(uri) -> (uri, component, distance): what a product is made of, ``depth`` steps down at most (the search's own
     bound), by ingredients of its own or of a recipe that puts it out. A frontier join per step; a component met before
-    is not followed again, so cycles end."""
+    is not followed again, so cycles end. With parts(component), only those are looked for: the search then goes from them
+    up to the products, and touches nothing that they are not in."""
     edges = triples.filter(F.col("p").isin(*ingredient) & (F.col("o_kind") == "iri")).select(F.col("s").alias("x"), F.col("o").alias("y"))
     if output:
         recipes = triples.filter(F.col("p").isin(*output) & (F.col("o_kind") == "iri")).select(F.col("s").alias("x"), F.col("o").alias("made"))
         edges = edges.unionByName(edges.join(recipes, "x").select(F.col("made").alias("x"), "y")).distinct()
-    here = products.select("uri", F.col("uri").alias("component")).distinct()
+    edges = _settled(edges)  # every step reads them
+    if parts is not None:
+        met = _reached(parts.select(F.col("component").alias("uri")), edges.toDF("y", "x"), depth).toDF("component", "uri", "distance")
+        return met.join(products.select("uri").distinct(), "uri", "left_semi").select("uri", "component", "distance")
+    return _reached(products, edges, depth)
+
+
+def _reached(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """start(uri), edges(x, y) -> (uri, component, distance) of what is reached from it in 1 to ``depth`` steps, at its first."""
+    here = start.select("uri", F.col("uri").alias("component")).distinct()
     out = here.withColumn("distance", F.lit(0))
     for step in range(1, depth + 1):
         there = here.join(edges, F.col("component") == F.col("x")).select("uri", F.col("y").alias("component")).distinct()
         here = _settled(there.join(out.select("uri", "component"), ["uri", "component"], "left_anti"))
         out = out.unionByName(here.withColumn("distance", F.lit(step)))
+        # The last thing reached has often no edge of its own: its rows are not shuffled to find that out.
+        if step < depth and here.select("component").distinct().join(edges, F.col("component") == F.col("x"), "left_semi").isEmpty():
+            break
     return out.filter("distance > 0")
 
 
+def named_alike(subject: DataFrame, named: DataFrame) -> DataFrame:
+    """subject(name), named(uri, label) -> (component, own): what has the subject's name; the few subjects are broadcast."""
+    key = lambda c: F.lower(F.trim(c))
+    return named.select(F.col("uri").alias("component"), key("label").alias("own")).join(dimension(subject.select(key("name").alias("own"))), "own").select("component", "own")
+
+
 def subject_conflicts(subject: DataFrame, found: DataFrame, made_of: DataFrame, named: DataFrame) -> DataFrame:
     """subject(name), mentions(name), made_of as from components, named(uri, label) -> the subject, where it is a component of
-    something the table mentions: a warning that names the product."""
+    something the table mentions: a warning that names the product. Joined from the subject's side, which is the smallest."""
     key = lambda c: F.lower(F.trim(c))
-    iris = named.select(F.col("uri"), key("label").alias("k"))
-    own = subject.select(key("name").alias("k")).join(iris, "k").select(F.col("uri").alias("component"), F.col("k").alias("own"))
-    others = found.select(F.col("name").alias("product"), key("name").alias("k")).distinct().join(iris, "k").select("product", "uri", "k")
-    met = others.join(made_of, "uri").join(own, "component").filter("k <> own").agg(F.min("product").alias("product")).filter("product is not null")
+    met = made_of.select("uri", "component").join(dimension(named_alike(subject, named)), "component").select("uri", "own").distinct()
+    met = named.select("uri", key("label").alias("k")).join(dimension(met), "uri").filter("k <> own").select("k").distinct()
+    met = found.select(F.col("name").alias("product"), key("name").alias("k")).join(dimension(met), "k").agg(F.min("product").alias("product")).filter("product is not null")
     return _finding(met, "SLOT_MISMATCH", "WARNING", "product", row=False)
 
 

@@ -197,6 +197,20 @@ def test_components_stop_at_their_depth_and_at_cycles(spark):
     assert sorted((r.component, r.distance) for r in made) == [(f"urn:{i}", i) for i in (1, 2, 3, 4)]
 
 
+def test_components_upwards_agree_and_dead_ends_are_not_followed(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"urn:{rng.randrange(30)}", rng.choice(["urn:of", "urn:makes"]), f"urn:{rng.randrange(30)}") for _ in range(70)]
+    triples, products = O.triples_from_rows(spark, rows), spark.createDataFrame([(f"urn:{i}",) for i in range(0, 30, 2)], "uri string")
+    every = {tuple(r) for r in conflicts.components(triples, products, ("urn:of",), ("urn:makes",)).collect()}
+    parts = spark.createDataFrame([("urn:3",), ("urn:4",), ("urn:17",)], "component string")
+    some = {tuple(r) for r in conflicts.components(triples, products, ("urn:of",), ("urn:makes",), parts=parts).collect()}
+    assert some == {r for r in every if r[1] in ("urn:3", "urn:4", "urn:17")} and some
+    settled = []
+    monkeypatch.setattr(conflicts, "_settled", lambda df: settled.append(df) or df.cache())
+    flat = O.triples_from_rows(spark, [(f"urn:{i}", "urn:of", "urn:x") for i in range(9)])
+    assert conflicts.components(flat, products, ("urn:of",)).count() == 5 and len(settled) == 2  # the edges and one step
+
+
 def test_vetoes_of_values_and_of_columns_agree(spark):
     from strataweave.operators import predicate as P
 

@@ -189,8 +189,9 @@ def subject_conflicts(spark, sf_dir):
     """Part 1 as the subject of a table that mentions every order: the first order it goes into is named."""
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("urn:order:"), "o_orderkey").alias("uri"), F.concat(F.lit("order "), "o_orderkey").alias("label"))
     part = spark.createDataFrame([("urn:part:1", "Part One")], "uri string, label string")
-    made = K.components(_makings(spark, sf_dir), orders.select("uri"), ("urn:has", "urn:of"), ("urn:makes",))
-    return K.subject_conflicts(spark.createDataFrame([(" part one",)], "name string"), orders.select(F.col("label").alias("name")), made, orders.unionByName(part))
+    subject, named = spark.createDataFrame([(" part one",)], "name string"), orders.unionByName(part)
+    made = K.components(_makings(spark, sf_dir), orders.select("uri"), ("urn:has", "urn:of"), ("urn:makes",), parts=K.named_alike(subject, named))
+    return K.subject_conflicts(subject, orders.select(F.col("label").alias("name")), made, named)
 
 
 # ---- mesh and triangulation
